@@ -4,13 +4,16 @@ How a group that holds a third of all rows is handled:
 
 * Equal shingle sets meet in a partial aggregation (one representative each);
   copies never become pairs.
-* Round 0 gives every representative one partner: among its buckets' smallest
-  members the one it shares most bands with. So a bucket of m members costs m pairs.
+* Round 0 pairs every representative with one member of each of its buckets
+  (drawn by hash, so bands differ) and confirms its two likeliest pairs. A bucket
+  of m members costs m pairs.
 * What is left are buckets whose members are still in different components.
-  There, every member outside the bucket's largest component is compared with
-  all members of other components, ``PER_ROUND`` such members of a bucket a
-  round, until none is left. Every pair that shares a bucket is therefore either
-  compared or already in one component: no cap, and no link is lost.
+  Documents that have too many shingles of their own to reach the threshold with
+  any other go (an exact test). Then every member outside the bucket's largest
+  component is compared with all members of other components, ``PER_ROUND`` such
+  members of a bucket a round, until none is left. Every pair that shares a
+  bucket is therefore compared, ruled out, or already in one component: no cap,
+  and no link is lost.
 * Joins on hot keys are plain equi-joins that AQE splits.
 """
 
@@ -29,6 +32,8 @@ BANDS, ROWS = 32, 4
 #: A pair at the threshold agrees in 96 of 128 minima, give or take 4.9; fewer than 70 rule it out.
 SLACK = 26
 PER_ROUND = 64
+#: So many 8-byte ids at most are broadcast (16 MB).
+LISTED = 2_000_000
 
 
 def shingle_sets(texts, shingle: int = SHINGLE):
@@ -122,9 +127,8 @@ def agree(x: Column, y: Column, bands: int = BANDS, rows: int = ROWS) -> Column:
     return count(x, y)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have den * intersection >= num * union."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+def sets_of(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """(id, s): the shingle sets, as bytes, of the documents in ids(doc_id). Up to ``LISTED`` ids are broadcast, so that texts stay where they are; more are joined by a shuffle."""
 
     def build(batches):
         import pyarrow as pa
@@ -132,7 +136,12 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, num: int, den: in
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(batch.column("text"), shingle)], pa.binary())], ["id", "s"])
 
-    sets = c.cut(docs.join(ids, "doc_id", "left_semi").mapInArrow(build, "id long, s binary"), "sets")
+    few = F.broadcast(ids) if ids.count() <= LISTED else ids
+    return c.cut(docs.join(few, "doc_id", "left_semi").mapInArrow(build, "id long, s binary"), "sets")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets have den * intersection >= num * union."""
 
     def test(batches):
         import pyarrow as pa
@@ -141,9 +150,6 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, num: int, den: in
             keep = []
             for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), c.U), np.frombuffer(y.as_buffer(), c.U)
-                if den * min(len(x), len(y)) < num * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
                 both = np.concatenate([x, y])
                 both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
@@ -151,9 +157,32 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, num: int, den: in
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     full = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    out = c.cut(full.select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long"), "links")
-    c.drop(sets)
-    return out
+    return c.cut(full.select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long"), "links")
+
+
+def hopeless(sets: DataFrame, ids: DataFrame, num: int, den: int) -> DataFrame:
+    """The ids of whose shingles more than 1 - num / den are in no other set of ids: they can have no partner there, so leaving them out loses nothing."""
+    def unpack(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            n = [len(x.as_buffer()) // 8 for x in batch.column("s")]
+            flat = np.frombuffer(b"".join(x.as_py() for x in batch.column("s")), np.int64)
+            for lo in range(0, len(flat), 1 << 16):
+                hi = min(len(flat), lo + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("id").to_numpy(), n)[lo:hi]), pa.array(flat[lo:hi])], ["id", "x"])
+
+    each = sets.join(ids.withColumnRenamed("doc_id", "id"), "id", "left_semi").mapInArrow(unpack, "id long, x long")
+    seen = each.groupBy("x").agg(F.min("id").alias("lo"), F.count("*").alias("n"))
+    alone = seen.filter("n = 1").groupBy(F.col("lo").alias("id")).agg(F.count("*").alias("alone"))
+    size = sets.select("id", (F.length("s") / 8).cast("long").alias("size"))
+    return size.join(alone, "id").filter(F.col("alone") * den > (den - num) * F.col("size")).select(F.col("id").alias("doc_id"))
+
+
+def unsettled(rows: DataFrame) -> DataFrame:
+    """Rows (key, doc_id, n, comp) of the buckets that hold more than one component, with the component ``big`` that has most of a bucket's members."""
+    per = rows.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("big"), F.count("*").alias("comps")).filter("comps > 1")
+    return rows.join(per.select("key", "big"), "key")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, num: int = 75, den: int = 100, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -170,43 +199,48 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, num: int = 75, den:
     base = c.cut(signatures(docs, shingle, bands, rows), "signatures")
     known = base.filter("doc_id is not null and set_key is not null")
     reps = known.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    uniq = known.groupBy("set_key").agg(F.min_by(F.struct("doc_id", "sig", "bands"), "doc_id").alias("r")).select("r.*")
-    uniq = c.cut(uniq, "representatives")
-    slots = uniq.select("doc_id", F.explode("bands").alias("key"))
-    first = slots.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
-    shared = c.cut(slots.join(first, "key").select("key", "doc_id", "pivot"), "buckets")
-    sig = uniq.select("doc_id", "sig")
-
-    def links(pairs: DataFrame) -> DataFrame:
+    uniq = c.cut(known.groupBy("set_key").agg(F.min_by(F.struct("doc_id", "n_shingles", "sig", "bands"), "doc_id").alias("r")).select("r.*"), "representatives")
+    slots = uniq.select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+    first = slots.groupBy("key").agg(F.min_by(F.struct(F.col("doc_id").alias("pivot"), F.col("n").alias("pn")), F.xxhash64("key", "doc_id")).alias("p"), F.count("*").alias("m")).filter("m > 1").select("key", "p.*")
+    shared = c.cut(slots.join(first, "key").select("key", "doc_id", "n", "pivot", "pn"), "buckets")
+    ids = c.cut(shared.select("doc_id").distinct(), "ids")
+    sig, sets = uniq.select("doc_id", "sig"), sets_of(docs, ids, shingle)
+
+    def alike(x: str, y: str) -> Column:
+        return (F.col(x) * den >= F.col(y) * num) & (F.col(y) * den >= F.col(x) * num)
+
+    def likely(pairs: DataFrame) -> DataFrame:
         p = pairs.join(sig.select(F.col("doc_id").alias("a"), F.col("sig").alias("x")), "a").join(sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("y")), "b")
         least = bands * rows * num // den - SLACK * bands * rows // 128
-        p = c.cut(p.filter(agree(F.col("x"), F.col("y")) >= least).select("a", "b").distinct(), "candidates")
-        out = confirmed(p, docs, shingle, num, den)
-        c.drop(p)
-        return out
-
-    star = shared.filter("doc_id <> pivot").groupBy("doc_id", "pivot").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("b"))
-    edges = links(star.select(F.col("doc_id").alias("a"), "b"))
-    comp = c.cut(c.components(edges), "components")
-    minor, turn = None, 0
-    while True:
-        at = shared.select("key", "doc_id").join(comp, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("comp", "doc_id").alias("comp"))
-        if minor is None:
-            per = at.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("big"), F.count("*").alias("comps"), (F.sum("n") - F.max("n")).alias("rest")).filter("comps > 1")
-            minor = c.cut(
-                at.join(per, "key").filter("comp <> big").select("key", "doc_id", F.pmod(F.xxhash64("key", "doc_id"), F.ceil(F.col("rest") / PER_ROUND)).cast("long").alias("turn")), "minor"
-            )
-            turns = minor.agg(F.max("turn")).first()[0]
-        if turns is None or turn > turns:
-            break
-        x = minor.filter(F.col("turn") == turn).join(comp, F.col("doc_id") == F.col("node"), "left").select("key", F.col("doc_id").alias("i"), F.coalesce("comp", "doc_id").alias("ci"))
-        pairs = x.join(at, "key").filter("ci <> comp").select(F.greatest("i", "doc_id").alias("a"), F.least("i", "doc_id").alias("b")).distinct()
-        more = links(pairs)
+        return p.select("a", "b", agree(F.col("x"), F.col("y")).alias("n")).filter(F.col("n") >= least)
+
+    star = shared.filter((F.col("doc_id") != F.col("pivot")) & alike("n", "pn")).select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
+    best = likely(star).groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b1"), F.min_by("b", F.struct(-F.col("n"), "b")).alias("b2"))
+    star = best.select("a", F.explode(F.array_distinct(F.array("b1", "b2"))).alias("b"))
+    comp = c.cut(c.components(confirmed(star, sets, num, den)), "components")
+
+    def placed(rows: DataFrame) -> DataFrame:
+        return rows.join(comp, F.col("doc_id") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "doc_id")).drop("node")
+
+    open_ = c.cut(unsettled(placed(shared.select("key", "doc_id", "n"))), "open")
+    out = hopeless(sets, open_.select("doc_id").distinct(), num, den)
+    rest = open_.join(out, "doc_id", "left_anti").drop("comp", "big")
+    rest = c.cut(unsettled(placed(rest)), "rest")
+    c.drop(open_)
+    outside = rest.filter("comp <> big").groupBy("key").agg(F.count("*").alias("outside"))
+    minor = c.cut(rest.filter("comp <> big").join(outside, "key").select("key", "doc_id", "n", F.pmod(F.xxhash64("key", "doc_id"), F.ceil(F.col("outside") / PER_ROUND)).cast("long").alias("turn")), "minor")
+    turns, turn = minor.agg(F.max("turn")).first()[0], 0
+    while turns is not None and turn <= turns:
+        x = placed(minor.filter(F.col("turn") == turn)).select("key", F.col("doc_id").alias("i"), F.col("n").alias("ni"), F.col("comp").alias("ci"))
+        at = placed(rest.select("key", "doc_id", "n"))
+        pairs = x.join(at, "key").filter((F.col("ci") != F.col("comp")) & alike("n", "ni")).select(F.greatest("i", "doc_id").alias("a"), F.least("i", "doc_id").alias("b")).distinct()
+        more = confirmed(likely(pairs).select("a", "b").distinct(), sets, num, den)
         if more.take(1):
-            edges = edges.union(more)
-            old, comp = comp, c.cut(c.components(edges), "components")
+            old, comp = comp, c.cut(c.components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more)), "components")
             c.drop(old)
         turn += 1
+    for t in (shared, sets, ids, rest, minor):
+        c.drop(t)
     of = reps.join(comp, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("comp", "rep").alias("comp"))
     out = base.join(of, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("comp")).alias("comp"))
     return out.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"), F.coalesce(F.coalesce("comp", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
