@@ -133,11 +133,16 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values:
     return fmix(h)
 
 
-def word_spans(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Bytes outside words, and bytes outside runs of ASCII letters, digits and everything beyond ASCII.
+SPACE = np.zeros(256, bool)
+SPACE[list(SPACES)] = True
+MARK = np.ones(256, bool)
+MARK[48:58] = MARK[65:91] = MARK[97:123] = MARK[128:] = False
+
+
+def word_spans(off: np.ndarray, data: np.ndarray, outside: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, first): words of all documents of a chunk; words first[i]:first[i+1] are those of document i."""
-    w = np.ones(256, bool)
-    w[list(SPACES)] = False
-    inside = w[data]
+    inside = ~outside[data]
     begins, stops = inside.copy(), inside.copy()
     if len(data):
         begins[1:] &= ~inside[:-1]
@@ -177,3 +182,41 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         before = state
     return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("comp")).union(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+
+
+# ---------------------------------------------------------------- learned models
+def held_out(mod: int, rest: int):
+    """Whether crc32 of doc_id as text leaves this remainder: such rows are never learned from."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(mod)) == rest, F.lit(False))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, rest: int, most: int, longest: int) -> tuple[list[str], np.ndarray]:
+    """Texts and 0/1 labels of at most ``most`` documents of each label, smallest hash of doc_id first, from the rows learned from; texts of more than ``longest`` characters are not drawn."""
+    rows = labels.select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & ~held_out(mod, rest)).groupBy("doc_id").agg(F.max("y").alias("y"))
+    order = F.xxhash64(F.lit(5), "doc_id")
+    pick = rows.filter("y = 1").orderBy(order, "doc_id").limit(most).union(rows.filter("y = 0").orderBy(order, "doc_id").limit(most))
+    got = docs.filter(F.char_length("text") <= longest).join(F.broadcast(pick), "doc_id").select("doc_id", "text", "y").collect()
+    got.sort(key=lambda r: (r.doc_id, r.text))
+    return [r.text for r in got], np.array([r.y for r in got], np.int64)
+
+
+def ngram_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, bucket) of the byte n-grams of each span, lower-cased in A-Z, with its edges marked by a zero byte."""
+    size = ends - starts + 2
+    at = np.repeat(np.cumsum(size) - size, size)
+    owner = np.repeat(np.arange(len(starts)), size)
+    pos = np.arange(len(owner)) - at
+    src = starts[owner] + pos - 1
+    edge = (pos == 0) | (pos == size[owner] - 1)
+    b = np.where(edge, 0, data[np.clip(src, 0, max(0, len(data) - 1))] if len(data) else 0).astype(np.uint8)
+    b[(b >= 65) & (b <= 90)] += 32
+    code = b.astype(c_u := np.uint64)
+    for k in range(1, n):
+        code[:-k] = code[:-k] | (b[k:].astype(c_u) << c_u(8 * k))
+    ok = pos <= np.maximum(size[owner] - n, 0)
+    fmix(code)
+    return owner[ok], (code[ok] >> c_u(64 - bits)).astype(np.int64)
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
