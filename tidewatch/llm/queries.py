@@ -4,16 +4,41 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import _common as c
-from . import near_dup
+from . import bpe, line_dedup, mixing, near_dup, token_store, toxicity
 
 
 def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(c.documents(spark, sf_dir))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(c.documents(spark, sf_dir, "doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(c.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_store.store_folder(spark)
+    manifest = token_store.write_store(c.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), folder)
+    return token_store.read_store(spark, manifest)
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(c.documents(spark, sf_dir))
+    return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_gone"), "gone", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(c.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
