@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as c
-from . import bpe, line_dedup, mixing, near_dup, token_store, toxicity
+from . import bpe, knn_dedup, lang_id, line_dedup, mixing, near_dup, quality, spotsigs, token_store, toxicity
 
 
 def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,17 +24,34 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(c.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = c.documents(spark, sf_dir, "doc_id", "text", "lang")
+    return lang_id.label_documents(docs, lang_id.learn(docs)).select("doc_id", c.held_out(*lang_id.HELD).alias("held_out"), "lang_pred", "score")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(c.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_store.store_folder(spark)
     manifest = token_store.write_store(c.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), folder)
     return token_store.read_store(spark, manifest)
 
 
+def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edits(c.documents(spark, sf_dir))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(c.documents(spark, sf_dir))
     return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_gone"), "gone", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(c.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
 
