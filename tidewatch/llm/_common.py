@@ -7,6 +7,7 @@ the chunk (or the longest document), not the partition.
 
 from __future__ import annotations
 
+import contextlib
 import sys
 import tempfile
 import types
@@ -18,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK = 2 << 20
+#: Rows of an Arrow batch: whole texts travel in them, off the heap.
+BATCH_ROWS = 500
 U = np.uint64
 #: Bytes 0x20 and 0x09 to 0x0D separate words.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -27,6 +30,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 # ---------------------------------------------------------------- shared storage
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 * CHUNK))
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -43,6 +48,19 @@ def shared_dir(spark: SparkSession) -> str:
     return str(fs.makeQualified(hadoop).toString())
 
 
+@contextlib.contextmanager
+def batch_rows(spark: SparkSession, rows: int):
+    """Within it Arrow batches hold fewer rows, for rows that are large."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    global BATCH_ROWS
+    before, BATCH_ROWS = BATCH_ROWS, rows
+    try:
+        yield
+    finally:
+        BATCH_ROWS = before
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def cut(df: DataFrame, what: str) -> DataFrame:
     """df written to the shared folder and read again: lineage ends here, and a lost executor costs no recomputation."""
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
@@ -66,6 +84,7 @@ def worker_cache(name: str) -> dict:
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """The columns asked for; other columns of the table, clashing names included, never travel along."""
+    shared_dir(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("doc_id", "text")))
 
 

@@ -10,8 +10,8 @@ How a group that holds a third of all rows is handled:
 * What is left are buckets whose members are still in different components.
   Documents that have too many shingles of their own to reach the threshold with
   any other go (an exact test). Then every member outside the bucket's largest
-  component is compared with all members of other components, ``PER_ROUND`` such
-  members of a bucket a round, until none is left. Every pair that shares a
+  component is compared with all members of other components, in large buckets
+  chunk by block inside rows, so that no pairs are emitted. Every pair that shares a
   bucket is therefore compared, ruled out, or already in one component: no cap,
   and no link is lost.
 * Joins on hot keys are plain equi-joins that AQE splits.
@@ -31,7 +31,8 @@ SHINGLE = 5
 BANDS, ROWS = 32, 4
 #: A pair at the threshold agrees in 96 of 128 minima, give or take 4.9; fewer than 70 rule it out.
 SLACK = 26
-PER_ROUND = 64
+#: Members up to which a bucket's pairs are rows of their own; members of a chunk and of a block of a larger bucket.
+SMALL, CHUNK, BLOCK = 32, 16, 32
 #: So many 8-byte ids at most are broadcast (16 MB).
 LISTED = 2_000_000
 
@@ -179,6 +180,59 @@ def hopeless(sets: DataFrame, ids: DataFrame, num: int, den: int) -> DataFrame:
     return size.join(alone, "id").filter(F.col("alone") * den > (den - num) * F.col("size")).select(F.col("id").alias("doc_id"))
 
 
+def across(many: DataFrame, uniq: DataFrame, sets: DataFrame, num: int, den: int, least: int) -> DataFrame:
+    """Links (a, b) between components of large buckets, from rows (key, doc_id, n, comp, big, m).
+
+    A bucket's members outside its largest component, ``CHUNK`` at a time, meet all
+    its members, ``BLOCK`` at a time, inside one row of the plan: their signatures,
+    then their full sets are compared there, pair by pair, and only links leave (one
+    for each two components that a chunk and a block join). A pair is compared in
+    the first bucket it shares. So rows grow with members, not with pairs, and no
+    task holds more than a chunk and a block.
+    """
+    full = many.join(uniq.select("doc_id", "sig", "bands"), "doc_id").join(sets.select(F.col("id").alias("doc_id"), "s"), "doc_id")
+    one = F.struct("doc_id", "comp", "n", "sig", "bands", "s")
+    part = lambda size: F.pmod(F.xxhash64("doc_id", "key"), F.ceil(F.col("m") / size))
+    chunks = full.filter("comp <> big").groupBy("key", part(CHUNK).alias("chunk")).agg(F.collect_list(one).alias("x"))
+    blocks = full.groupBy("key", part(BLOCK).alias("block")).agg(F.collect_list(one).alias("y"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = []
+            for row in range(len(batch)):
+                key = batch.column("key")[row].as_py()
+                x, y = batch.column("x")[row].as_py(), batch.column("y")[row].as_py()
+                col = lambda t, k: np.array([r[k] for r in t])
+                bx, by = col(x, "bands"), col(y, "bands")
+                same = bx[:, None, :] == by[None, :, :]
+                at = np.argmax(bx == key, 1)
+                ok = (np.argmax(same, 2) == at[:, None]) & (col(x, "comp")[:, None] != col(y, "comp")[None, :])
+                nx, ny = col(x, "n")[:, None], col(y, "n")[None, :]
+                ok &= (nx * den >= ny * num) & (ny * den >= nx * num)
+                sy = np.frombuffer(b"".join(r["sig"] for r in y), np.uint16).reshape(len(y), -1)
+                for i in np.flatnonzero(ok.any(1)):
+                    own = x[i]
+                    js = np.flatnonzero(ok[i])
+                    n = (sy[js] == np.frombuffer(own["sig"], np.uint16)).sum(1)
+                    js, n = js[n >= least], n[n >= least]
+                    a, done = np.frombuffer(own["s"], c.U), set()
+                    for j in js[np.argsort(-n, kind="stable")]:
+                        if y[j]["comp"] in done:
+                            continue
+                        both = np.concatenate([a, np.frombuffer(y[j]["s"], c.U)])
+                        both.sort(kind="stable")
+                        common = int((both[1:] == both[:-1]).sum())
+                        if den * common >= num * (len(both) - common):
+                            found.append((own["doc_id"], y[j]["doc_id"]))
+                            done.add(y[j]["comp"])
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
+
+    with c.batch_rows(many.sparkSession, 32):
+        return c.cut(chunks.join(blocks, "key").select("key", "x", "y").mapInArrow(run, "a long, b long"), "far")
+
+
 def unsettled(rows: DataFrame) -> DataFrame:
     """Rows (key, doc_id, n, comp) of the buckets that hold more than one component, with the component ``big`` that has most of a bucket's members."""
     per = rows.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("big"), F.count("*").alias("comps")).filter("comps > 1")
@@ -227,19 +281,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, num: int = 75, den:
     rest = open_.join(out, "doc_id", "left_anti").drop("comp", "big")
     rest = c.cut(unsettled(placed(rest)), "rest")
     c.drop(open_)
-    outside = rest.filter("comp <> big").groupBy("key").agg(F.count("*").alias("outside"))
-    minor = c.cut(rest.filter("comp <> big").join(outside, "key").select("key", "doc_id", "n", F.pmod(F.xxhash64("key", "doc_id"), F.ceil(F.col("outside") / PER_ROUND)).cast("long").alias("turn")), "minor")
-    turns, turn = minor.agg(F.max("turn")).first()[0], 0
-    while turns is not None and turn <= turns:
-        x = placed(minor.filter(F.col("turn") == turn)).select("key", F.col("doc_id").alias("i"), F.col("n").alias("ni"), F.col("comp").alias("ci"))
-        at = placed(rest.select("key", "doc_id", "n"))
-        pairs = x.join(at, "key").filter((F.col("ci") != F.col("comp")) & alike("n", "ni")).select(F.greatest("i", "doc_id").alias("a"), F.least("i", "doc_id").alias("b")).distinct()
-        more = confirmed(likely(pairs).select("a", "b").distinct(), sets, num, den)
-        if more.take(1):
-            old, comp = comp, c.cut(c.components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more)), "components")
-            c.drop(old)
-        turn += 1
-    for t in (shared, sets, ids, rest, minor):
+    count = rest.groupBy("key").agg(F.count("*").alias("m"))
+    few = rest.join(count.filter(F.col("m") <= SMALL).select("key"), "key")
+    x = few.filter("comp <> big").select("key", F.col("doc_id").alias("i"), F.col("n").alias("ni"), F.col("comp").alias("ci"))
+    pairs = x.join(few.select("key", "doc_id", "n", "comp"), "key").filter((F.col("ci") != F.col("comp")) & alike("n", "ni"))
+    pairs = pairs.select(F.greatest("i", "doc_id").alias("a"), F.least("i", "doc_id").alias("b")).distinct()
+    more = confirmed(likely(pairs).select("a", "b").distinct(), sets, num, den)
+    many = rest.join(count.filter(F.col("m") > SMALL), "key")
+    far = across(many, uniq, sets, num, den, bands * rows * num // den - SLACK * bands * rows // 128)
+    far = confirmed(far.distinct(), sets, num, den)
+    comp = c.cut(c.components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more).union(far)), "components")
+    for t in (shared, sets, ids, rest):
         c.drop(t)
     of = reps.join(comp, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("comp", "rep").alias("comp"))
     out = base.join(of, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("comp")).alias("comp"))
