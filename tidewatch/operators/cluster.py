@@ -1,0 +1,139 @@
+"""Density clustering of each block: HDBSCAN with an epsilon floor, in numpy, one block a task.
+
+A block of more than ``fit_cap`` members is fitted on those with the smallest
+hash; the others, and noise, go to the nearest centroid within 1.5 times the 95th
+percentile of its members' distances. Memory is linear in the fitted members
+(one distance row at a time).
+"""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..config import Config
+
+
+def spanning_tree(x: np.ndarray, k: int) -> np.ndarray:
+    """Edges (a, b, distance) of the minimum spanning tree of mutual reachability, ascending."""
+    n = len(x)
+    core = np.empty(n)
+    for i in range(n):
+        core[i] = np.partition(np.sqrt(((x - x[i]) ** 2).sum(1)), min(k, n) - 1)[min(k, n) - 1]
+    near, frm, inside, at = np.full(n, np.inf), np.zeros(n, int), np.zeros(n, bool), 0
+    out = []
+    for _ in range(n - 1):
+        inside[at] = True
+        d = np.maximum(np.maximum(np.sqrt(((x - x[at]) ** 2).sum(1)), core), core[at])
+        closer = (d < near) & ~inside
+        near[closer], frm[closer] = d[closer], at
+        at = int(np.argmin(np.where(inside, np.inf, near)))
+        out.append((frm[at], at, near[at]))
+    t = np.array(out)
+    return t[np.argsort(t[:, 2], kind="stable")]
+
+
+def hdbscan(x: np.ndarray, least: int, samples: int, epsilon: float) -> np.ndarray:
+    """Labels from 0 on, -1 for noise. The whole set may be one cluster."""
+    n = len(x)
+    if n < 2:
+        return np.zeros(n, int)
+    up, size = list(range(2 * n - 1)), [1] * (2 * n - 1)
+    kids: dict[int, tuple[int, int, float]] = {}
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for k, (a, b, d) in enumerate(spanning_tree(x, samples)):
+        a, b = root(int(a)), root(int(b))
+        kids[n + k] = (a, b, float(d))
+        up[a] = up[b] = n + k
+        size[n + k] = size[a] + size[b]
+
+    def leaves(i: int) -> list[int]:
+        out, todo = [], [i]
+        while todo:
+            j = todo.pop()
+            todo += kids[j][:2] if j >= n else []
+            out += [j] if j < n else []
+        return out
+
+    clusters = [{"top": 2 * n - 2, "birth": 0.0, "parent": -1, "kids": [], "mass": 0.0}]
+    todo = [(2 * n - 2, 0)]
+    while todo:
+        node, c = todo.pop()
+        while node >= n:
+            a, b, d = kids[node]
+            lam = 1 / max(d, 1e-12)
+            here = clusters[c]
+            if size[a] >= least and size[b] >= least:
+                here["mass"] += (lam - here["birth"]) * size[node]
+                for child in (a, b):
+                    clusters.append({"top": child, "birth": lam, "parent": c, "kids": [], "mass": 0.0})
+                    here["kids"].append(len(clusters) - 1)
+                    todo.append((child, len(clusters) - 1))
+                break
+            small, node = (a, b) if size[a] < size[b] else (b, a)
+            here["mass"] += (lam - here["birth"]) * size[small]
+            if size[node] < least:
+                here["mass"] += (lam - here["birth"]) * size[node]
+                break
+    best, chosen = [0.0] * len(clusters), [False] * len(clusters)
+    for c in range(len(clusters) - 1, -1, -1):
+        below = sum(best[k] for k in clusters[c]["kids"])
+        chosen[c] = not clusters[c]["kids"] or clusters[c]["mass"] >= below
+        best[c] = max(clusters[c]["mass"], below)
+    picked, todo = [], [0]
+    while todo:
+        c = todo.pop()
+        if chosen[c]:
+            picked.append(c)
+        else:
+            todo += clusters[c]["kids"]
+    merged = set()
+    for c in picked:
+        while clusters[c]["parent"] >= 0 and 1 / clusters[c]["birth"] < epsilon:
+            c = clusters[c]["parent"]
+        merged.add(c)
+    label = np.full(n, -1)
+    for k, c in enumerate(sorted(merged, key=lambda c: min(leaves(clusters[c]["top"])))):
+        label[leaves(clusters[c]["top"])] = k
+    return label
+
+
+def block_labels(x: np.ndarray, order: np.ndarray, cfg: Config) -> np.ndarray:
+    n = len(x)
+    if n < 2 * cfg.min_size:
+        return np.zeros(n, int)
+    fit = order[: cfg.fit_cap]
+    label = np.full(n, -1)
+    label[fit] = hdbscan(x[fit], max(cfg.min_size, int(cfg.min_frac * len(fit))), cfg.min_samples, cfg.epsilon)
+    names = sorted(set(label[label >= 0].tolist()))
+    if not names:
+        return np.zeros(n, int)
+    mid = np.array([x[label == k].mean(0) for k in names])
+    reach = np.array([1.5 * np.quantile(np.sqrt(((x[label == k] - m) ** 2).sum(1)), 0.95) for k, m in zip(names, mid, strict=True)])
+    for i in np.flatnonzero(label < 0):
+        d = np.sqrt(((mid - x[i]) ** 2).sum(1))
+        k = int(np.argmin(d))
+        label[i] = names[k] if d[k] <= reach[k] else -1
+    return label
+
+
+def modes(p: DataFrame, features: list[str], key: str, cfg: Config) -> DataFrame:
+    """(src, key, mode): members of each block of min_size and more, by density mode; features are z-scored over all profiles first."""
+    stat = p.agg(*[f(x).alias(f"{x}_{k}") for x in features for k, f in (("m", F.avg), ("s", F.stddev_pop))])
+    z = [F.coalesce((F.col(x) - F.col(f"{x}_m")) / F.nullif(F.col(f"{x}_s"), F.lit(0.0)), F.lit(0.0)).alias(x) for x in features]
+    rows = p.join(F.broadcast(stat)).select("src", F.col(key).alias("key"), *z)
+    sized = rows.groupBy("key").count().filter(F.col("count") >= cfg.min_size).select("key")
+
+    def run(pdf):  # noqa: ANN001
+        pdf = pdf.sort_values("src")
+        order = np.argsort(((pdf["src"].to_numpy() * 7919 + cfg.seed) % 2147483647), kind="stable")
+        return pdf[["src", "key"]].assign(mode=block_labels(pdf[features].to_numpy(float), order, cfg))
+
+    return rows.join(sized, "key").groupBy("key").applyInPandas(run, "src long, key string, mode long")
