@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 #: Rows of an Arrow batch: whole texts travel in them, off the heap.
 BATCH_ROWS = 500
 U = np.uint64
@@ -31,7 +31,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 * CHUNK))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 * CHUNK))
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()

@@ -44,7 +44,7 @@ def shingle_sets(texts, shingle: int = SHINGLE):
     """
     values = c.byte_values(lower=True)
     odd = c.byte_values(lower=False, seed=11)[: shingle + 1] | c.U(1)
-    for _, _, off, data in c.chunks(texts):
+    for _, _, off, data in c.chunks(texts, c.CHUNK // 2):
         starts, ends, first = c.word_spans(off, data)
         h = c.span_hashes(data, starts, ends, values)
         n = len(h) - shingle + 1
@@ -105,7 +105,7 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 held.append(s)
                 held_n = held_n + len(s) if len(held) > 1 else len(s)
-                if held_n > 300_000:
+                if held_n > 100_000:
                     flush()
             flush()
             yield pa.RecordBatch.from_arrays(
