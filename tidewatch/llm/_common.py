@@ -105,6 +105,20 @@ def chunks(texts, most: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + most, "right")) - 1)
         yield lo, hi, off[lo : hi + 1] - off[lo], data[off[lo] : off[hi]]
         lo = hi
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system: a worker lives on after its task, beside the executor's heap."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    libc = worker_cache("libc")
+    if "trim" not in libc:
+        libc["trim"] = getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+    libc["trim"](0)
 
 
 def fmix(h: np.ndarray) -> np.ndarray:
@@ -190,7 +204,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         m = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.filter("v > u").join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         m = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(m.select("u", F.col("m").alias("v")))
         new = cut(small.filter("u <> v").distinct(), "edges")
@@ -200,7 +214,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if state == before:
             break
         before = state
-    return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("comp")).union(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+    return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
 # ---------------------------------------------------------------- learned models

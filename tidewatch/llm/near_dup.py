@@ -32,7 +32,9 @@ BANDS, ROWS = 32, 4
 #: A pair at the threshold agrees in 96 of 128 minima, give or take 4.9; fewer than 70 rule it out.
 SLACK = 26
 #: Members up to which a bucket's pairs are rows of their own; members of a chunk and of a block of a larger bucket.
-SMALL, CHUNK, BLOCK = 32, 16, 32
+SMALL, CHUNK, BLOCK = 32, 64, 128
+#: A large bucket's blocks are copied so many times, so that its chunks meet them in as many tasks.
+SALTS = 8
 #: So many 8-byte ids at most are broadcast (16 MB).
 LISTED = 2_000_000
 
@@ -193,44 +195,46 @@ def across(many: DataFrame, uniq: DataFrame, sets: DataFrame, num: int, den: int
     full = many.join(uniq.select("doc_id", "sig", "bands"), "doc_id").join(sets.select(F.col("id").alias("doc_id"), "s"), "doc_id")
     one = F.struct("doc_id", "comp", "n", "sig", "bands", "s")
     part = lambda size: F.pmod(F.xxhash64("doc_id", "key"), F.ceil(F.col("m") / size))
-    chunks = full.filter("comp <> big").groupBy("key", part(CHUNK).alias("chunk")).agg(F.collect_list(one).alias("x"))
-    blocks = full.groupBy("key", part(BLOCK).alias("block")).agg(F.collect_list(one).alias("y"))
+    chunks = full.filter("comp <> big").groupBy("key", part(CHUNK).alias("chunk")).agg(F.collect_list(one).alias("x")).withColumn("salt", F.pmod("chunk", F.lit(SALTS)))
+    blocks = full.groupBy("key", part(BLOCK).alias("block")).agg(F.collect_list(one).alias("y")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             found = []
-            for row in range(len(batch)):
-                key = batch.column("key")[row].as_py()
-                x, y = batch.column("x")[row].as_py(), batch.column("y")[row].as_py()
-                col = lambda t, k: np.array([r[k] for r in t])
-                bx, by = col(x, "bands"), col(y, "bands")
+            sides = [batch.column(k) for k in ("x", "y")]
+            offs = [t.offsets.to_pylist() for t in sides]
+            for row, key in enumerate(batch.column("key").to_pylist()):
+                x, y = (t.values.slice(o[row], o[row + 1] - o[row]) for t, o in zip(sides, offs, strict=True))
+                col = lambda t, k: t.field(k).to_numpy(zero_copy_only=False)
+                bx, by = (t.field("bands").flatten().to_numpy().reshape(len(t), -1) for t in (x, y))
                 same = bx[:, None, :] == by[None, :, :]
                 at = np.argmax(bx == key, 1)
                 ok = (np.argmax(same, 2) == at[:, None]) & (col(x, "comp")[:, None] != col(y, "comp")[None, :])
                 nx, ny = col(x, "n")[:, None], col(y, "n")[None, :]
                 ok &= (nx * den >= ny * num) & (ny * den >= nx * num)
-                sy = np.frombuffer(b"".join(r["sig"] for r in y), np.uint16).reshape(len(y), -1)
+                ix, iy, cy = col(x, "doc_id"), col(y, "doc_id"), col(y, "comp")
+                sx, sy = (np.frombuffer(b"".join(t.field("sig").to_pylist()), np.uint16).reshape(len(t), -1) for t in (x, y))
+                setx, sety = x.field("s"), y.field("s")
                 for i in np.flatnonzero(ok.any(1)):
-                    own = x[i]
                     js = np.flatnonzero(ok[i])
-                    n = (sy[js] == np.frombuffer(own["sig"], np.uint16)).sum(1)
+                    n = (sy[js] == sx[i]).sum(1)
                     js, n = js[n >= least], n[n >= least]
-                    a, done = np.frombuffer(own["s"], c.U), set()
+                    a, done = np.frombuffer(setx[i].as_buffer(), c.U), set()
                     for j in js[np.argsort(-n, kind="stable")]:
-                        if y[j]["comp"] in done:
+                        if cy[j] in done:
                             continue
-                        both = np.concatenate([a, np.frombuffer(y[j]["s"], c.U)])
+                        both = np.concatenate([a, np.frombuffer(sety[j].as_buffer(), c.U)])
                         both.sort(kind="stable")
                         common = int((both[1:] == both[:-1]).sum())
                         if den * common >= num * (len(both) - common):
-                            found.append((own["doc_id"], y[j]["doc_id"]))
-                            done.add(y[j]["comp"])
+                            found.append((ix[i], iy[j]))
+                            done.add(cy[j])
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
 
-    with c.batch_rows(many.sparkSession, 32):
-        return c.cut(chunks.join(blocks, "key").select("key", "x", "y").mapInArrow(run, "a long, b long"), "far")
+    with c.batch_rows(many.sparkSession, 8):
+        return c.cut(chunks.join(blocks, ["key", "salt"]).select("key", "x", "y").mapInArrow(run, "a long, b long"), "far")
 
 
 def unsettled(rows: DataFrame) -> DataFrame:
@@ -289,7 +293,6 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, num: int = 75, den:
     more = confirmed(likely(pairs).select("a", "b").distinct(), sets, num, den)
     many = rest.join(count.filter(F.col("m") > SMALL), "key")
     far = across(many, uniq, sets, num, den, bands * rows * num // den - SLACK * bands * rows // 128)
-    far = confirmed(far.distinct(), sets, num, den)
     comp = c.cut(c.components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more).union(far)), "components")
     for t in (shared, sets, ids, rest):
         c.drop(t)
