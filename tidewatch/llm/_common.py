@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Rows of an Arrow batch: whole texts travel in them, off the heap.
 BATCH_ROWS = 500
 U = np.uint64
@@ -31,7 +31,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 * CHUNK))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 * CHUNK))
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -93,6 +93,7 @@ def chunks(texts, most: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.
     """Runs of rows of an Arrow string array (nulls are empty) as (first row, last row + 1, offsets, bytes)."""
     import pyarrow as pa
 
+    settle()
     a = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
     a = a.cast(pa.large_string()).fill_null("")
     if not len(a):
@@ -108,17 +109,23 @@ def chunks(texts, most: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.
     trim()
 
 
-def trim() -> None:
-    """Give freed memory back to the system: a worker lives on after its task, beside the executor's heap."""
+def settle() -> None:
+    """Let large arrays go straight back to the system when freed: a worker lives beside the executor's heap, and on after its task."""
     import ctypes
 
     import pyarrow as pa
 
-    pa.default_memory_pool().release_unused()
     libc = worker_cache("libc")
     if "trim" not in libc:
-        libc["trim"] = getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
-    libc["trim"](0)
+        own = ctypes.CDLL(None)
+        if hasattr(own, "mallopt"):
+            own.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD
+        libc["trim"] = getattr(own, "malloc_trim", lambda _: 0)
+        pa.set_memory_pool(pa.system_memory_pool())
+
+
+def trim() -> None:
+    worker_cache("libc")["trim"](0)
 
 
 def fmix(h: np.ndarray) -> np.ndarray:

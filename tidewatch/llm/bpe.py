@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from . import _common as c
 
 #: Entries of each of a worker's caches, which start anew beyond that.
-CACHED = 300_000
+CACHED = 200_000
 
 
 def byte_symbols() -> dict[int, str]:
@@ -152,6 +152,7 @@ def encode_decode(docs: DataFrame, path: str, text: bool = False) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        c.settle()
         enc = codec(file.value)
         for batch in batches:
             for lo in range(0, len(batch), 500):

@@ -116,7 +116,7 @@ class Model:
 
     def label(self, texts):
         """For each text (label or None, share of its letters' bytes in that label, spans as (first word, words, label))."""
-        for _, _, off, data in c.chunks(texts):
+        for _, _, off, data in c.chunks(texts, 2 * c.CHUNK):
             first, ids, owner, grams, size, script = words_of(off, data)
             path = self.path(first, self.scores(owner, grams, len(size), script), ids)
             weight = np.where(script > 0, size, 0)[ids]

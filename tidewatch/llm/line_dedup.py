@@ -95,7 +95,7 @@ def variants(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             wanted = batch.column("lines").to_pylist()
-            for lo, _, off, data in c.chunks(batch.column("text"), c.CHUNK // 4):
+            for lo, _, off, data in c.chunks(batch.column("text"), c.CHUNK // 2):
                 x = Lines(off, data)
                 pick = [k for k, (d, no) in enumerate(zip(x.doc.tolist(), x.no.tolist(), strict=True)) if no in wanted[lo + d]]
                 a, b = x.a[pick], x.b[pick]

@@ -93,7 +93,7 @@ class Net:
             out[t] = s = new
         return out
 
-    def score(self, w: Words, pick=slice(None), most: int = 8192) -> np.ndarray:
+    def score(self, w: Words, pick=slice(None), most: int = 2048) -> np.ndarray:
         """Logits of the windows picked."""
         p, x = self.p, self.inputs(w)
         pf, pb = x @ p["Wf"] + p["cf"], x @ p["Wb"] + p["cb"]
