@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from . import _common as c
 
 #: Entries of each of a worker's caches, which start anew beyond that.
-CACHED = 200_000
+CACHED = 60_000
 
 
 def byte_symbols() -> dict[int, str]:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import _common as c
 
 PER_RANGE = 4000
-CACHED = 300_000
+CACHED = 100_000
 
 
 def local(path: str) -> str | None:
