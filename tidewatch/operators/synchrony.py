@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 
 from ..config import Config
 from ..functions import bitmap, scalar
+from .stage import stage
 
 
 def member_pairs(members: DataFrame, most: int, seed: int) -> DataFrame:
@@ -102,11 +103,11 @@ def step_up(tests: DataFrame, p: str, q: float, by: list[str] | None = None, har
 
 def decide(p: DataFrame, members: DataFrame, cfg: Config, days: int = 7) -> DataFrame:
     """Both nulls, the larger p, and what passes: one row a campaign. Untestable ones enter with p = 1."""
-    pairs = member_pairs(members, cfg.pairs, cfg.seed).cache()
-    obs = coactivity(pairs, p).cache()
+    pairs = stage(member_pairs(members, cfg.pairs, cfg.seed), "pairs")
+    obs = stage(coactivity(pairs, p), "coactivity")
     test = peer_counts(p, members, cfg.peer_ratio)
-    rot = rotation_null(pairs, p, obs, cfg.draws, days, cfg.seed)
-    pop = population_null(pairs, p, peer_pools(p, members, cfg.min_pool).cache(), obs, cfg.draws, cfg.seed)
+    rot = stage(rotation_null(pairs, p, obs, cfg.draws, days, cfg.seed), "rotation")
+    pop = stage(population_null(pairs, p, stage(peer_pools(p, members, cfg.min_pool), "pools"), obs, cfg.draws, cfg.seed), "population")
     t = test.join(obs, "camp", "left").join(rot, "camp", "left").join(pop, "camp", "left")
     ok = F.col("testable") & F.col("p_pop").isNotNull()
     t = t.withColumn("p_pop", F.when(ok, F.col("p_pop")).otherwise(1.0)).withColumn("z_pop", F.when(ok, F.col("z_pop")).otherwise(0.0)).withColumn("p", F.greatest("p_rot", "p_pop"))

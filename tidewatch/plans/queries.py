@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from ..config import SMALL as CFG
 from ..functions import bitmap, scalar
 from ..operators import campaigns, cluster, lineage, profiles, reports, scores, synchrony
+from ..operators.stage import stage
 from ..sources import flows as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,9 +45,9 @@ def profiled(spark: SparkSession, d: str) -> DataFrame:
 
 
 def blocked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Profiles and members, kept while a query uses them several times."""
-    p = profiled(spark, d).cache()
-    return p, campaigns.blocks(p, CFG.min_size).cache()
+    """Profiles and members, written once because a query uses them several times."""
+    p = stage(profiled(spark, d), "profiles")
+    return p, stage(campaigns.blocks(p, CFG.min_size), "members")
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -229,8 +230,8 @@ def peer_fallback_tiers(spark, d):
 @query("population_null_p", f"WITH {PAIRS}, {POP} SELECT CAST(camp AS BIGINT) AS camp, round(p_pop, 6) AS p_pop, round(z_pop, 4) AS z_pop FROM pop")
 def population_null_p(spark, d):
     p, m = blocked(spark, d)
-    pairs = synchrony.member_pairs(m, CFG.pairs, CFG.seed).cache()
-    r = synchrony.population_null(pairs, p, synchrony.peer_pools(p, m, CFG.min_pool).cache(), synchrony.coactivity(pairs, p), CFG.draws, CFG.seed)
+    pairs = stage(synchrony.member_pairs(m, CFG.pairs, CFG.seed), "pairs")
+    r = synchrony.population_null(pairs, p, stage(synchrony.peer_pools(p, m, CFG.min_pool), "pools"), synchrony.coactivity(pairs, p), CFG.draws, CFG.seed)
     return rounded(r.withColumn("z_pop", F.round("z_pop", 4)))
 
 
