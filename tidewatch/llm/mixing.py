@@ -136,16 +136,19 @@ def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
     Documents of which nothing is taken, those without words among them, go.
     """
     got = mix(docs.select("doc_id", "text", "source"), **kw).withColumn("most", F.array_max(F.transform("passes", lambda p: p["times"]))).filter("taken > 0")
-    got = got.select("doc_id", "h", "first_word", "passes", "block", "size", F.explode(F.sequence(F.lit(1), F.col("most").cast("int"))).alias("pass"), F.row_number().over(W.partitionBy("doc_id", "h", "source").orderBy("first_word")).alias("copy"), F.col("source").alias("src"))
-    numbered = docs.withColumn("h", F.xxhash64("text")).withColumn("copy", F.row_number().over(W.partitionBy("doc_id", "h", "source").orderBy(F.lit(1))))
+    got = got.withColumn("copy", F.row_number().over(W.partitionBy("doc_id", "h", "source").orderBy("first_word")))
+    got = got.select("doc_id", "h", "first_word", "passes", "block", "size", F.explode(F.sequence(F.lit(1), F.col("most").cast("int"))).alias("pass"), "copy", F.col("source").alias("src"))
+    whole_row = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "source", F.xxhash64("text").alias("h"))
+    numbered = whole_row.withColumn("copy", F.row_number().over(W.partitionBy("doc_id", "h", "source").orderBy(F.lit(1))))
     both = numbered.alias("d").join(got.alias("g"), (F.col("d.doc_id").eqNullSafe(F.col("g.doc_id"))) & (F.col("d.h") == F.col("g.h")) & (F.col("d.copy") == F.col("g.copy")) & F.col("d.source").eqNullSafe(F.col("g.src")))
     runs = F.expr("filter(g.passes, p -> p.times >= g.pass)")
     words = F.regexp_extract_all("d.text", F.lit(f"({c.WORD})"), F.lit(1))
     part = F.expr("""array_join(flatten(transform(taken_runs, p -> slice(words, int(greatest(p.block * block, first_word) - first_word) + 1,
         int(least((p.block + 1) * block, first_word + size) - greatest(p.block * block, first_word))))), ' ')""")
-    both = both.select("d.*", "g.pass", "g.block", "g.first_word", "g.size", runs.alias("taken_runs"), F.size("g.passes").alias("all"))
+    both = both.select("d.row", "d.text", "g.block", "g.first_word", "g.size", runs.alias("taken_runs"), F.size("g.passes").alias("all"))
     whole = F.size("taken_runs") == F.col("all")
     both = both.withColumn("words", F.when(~whole, words)).withColumn("text", F.when(whole, F.col("text")).otherwise(part))
+    own = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        both = both.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return both.select(*docs.columns)
+        own["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+    return both.select(*[own.get(x, F.col("row").getField(x)).alias(x) for x in docs.columns])
