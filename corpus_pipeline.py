@@ -47,7 +47,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded text for each row."""
-    return bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"), cached=50_000)
 
 
 STAGES = [("toxicity", remove_toxic), ("line_dedup", drop_repeated_lines), ("near_dedup", drop_near_duplicates), ("mixing", mix_sources), ("bpe", encode)]

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from . import _common as c
 
 #: Entries of each of a worker's caches, which start anew beyond that.
-CACHED = 60_000
+CACHED = 300_000
 
 
 def byte_symbols() -> dict[int, str]:
@@ -54,6 +54,7 @@ class Codec:
             s = self.split(token)
             inside.update(x + y for x, y in zip(s, s[1:], strict=False))
         self.inside = inside
+        self.cached = CACHED
         self.cache: dict[str, tuple[str, str, int]] = {}
         self.pieces: dict[tuple, tuple[int, ...]] = {}
 
@@ -94,7 +95,7 @@ class Codec:
         ids: list[int] = []
         for f in self.fragments(symbols):
             if (got := self.pieces.get(f)) is None:
-                if len(self.pieces) >= CACHED:
+                if len(self.pieces) >= self.cached:
                     self.pieces.clear()
                 got = self.pieces[f] = self.merge(f)
             ids += got
@@ -117,7 +118,7 @@ class Codec:
                 words = [w for w, _ in self.cutter.pre_tokenize_str(self.normalizer.normalize_str(piece))]
             for w in words:
                 if (got := get(w)) is None:
-                    if len(self.cache) >= CACHED:
+                    if len(self.cache) >= self.cached:
                         self.cache.clear()
                     got = self.cache[w] = self.word(w)
                 parts.append(got)
@@ -131,16 +132,17 @@ class Codec:
         return " ".join([self.names[int(i)] for i in ids.split()])
 
 
-def codec(file: str) -> Codec:
+def codec(file: str, cached: int = CACHED) -> Codec:
     """The worker's codec of a file, made once."""
     cache = c.worker_cache("codecs")
     key = hashlib.sha1(file.encode()).digest()
     if key not in cache:
         cache[key] = Codec(file)
+    cache[key].cached = cached
     return cache[key]
 
 
-def encode_decode(docs: DataFrame, path: str, text: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, text: bool = False, cached: int = CACHED) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, n_tokens, ids_sha256, decoded_sha256), with ``text`` also ids and decoded.
 
     path: the tokenizer's JSON, read by the driver and sent along (a few MB, fixed by the file).
@@ -153,7 +155,7 @@ def encode_decode(docs: DataFrame, path: str, text: bool = False) -> DataFrame:
         import pyarrow as pa
 
         c.settle()
-        enc = codec(file.value)
+        enc = codec(file.value, cached)
         for batch in batches:
             for lo in range(0, len(batch), 500):
                 part = batch.slice(lo, 500)

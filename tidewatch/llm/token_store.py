@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import _common as c
 
 PER_RANGE = 4000
-CACHED = 100_000
+CACHED = 400_000
 
 
 def local(path: str) -> str | None:
@@ -84,6 +84,14 @@ class Encoder:
         self.cache: dict[str, bytes] = {}
         self.end = np.array([end], self.dtype).tobytes()
 
+    def learn(self, words: list[str]) -> None:
+        """Cache pieces that are a space and letters, asked for as one text: the pattern cuts it into just these."""
+        e = self.lib.encode("".join(words), add_special_tokens=False)
+        ids, at = np.array(e.ids, self.dtype), np.array(e.word_ids)
+        if np.array_equal(np.unique(at), np.arange(len(words))):
+            edge = np.searchsorted(at, np.arange(len(words) + 1))
+            self.cache.update((w, ids[a:b].tobytes()) for w, a, b in zip(words, edge, edge[1:], strict=False))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids, the end id appended."""
         cut, new = [], set()
@@ -97,6 +105,10 @@ class Encoder:
             cut.append(p)
             new.update(p)
         new = [x for x in new if x not in self.cache]
+        run = [x for x in new if x[0] == " " and x[1:].isalpha()]
+        for lo in range(0, len(run), 2000):
+            self.learn(run[lo : lo + 2000])
+        new = [x for x in new if x not in self.cache]
         for lo in range(0, len(new), 20_000):
             part = new[lo : lo + 20_000]
             for x, e in zip(part, self.lib.encode_batch(part, add_special_tokens=False), strict=True):
