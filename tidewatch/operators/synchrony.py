@@ -61,36 +61,64 @@ def peer_counts(p: DataFrame, members: DataFrame, ratio: float) -> DataFrame:
     return out.select("camp", "port", "m", "peers", (F.col("peers") >= F.col("m") * ratio).alias("testable"))
 
 
-def peer_pools(p: DataFrame, members: DataFrame, min_pool: int) -> DataFrame:
+def peer_pools(p: DataFrame, members: DataFrame, min_pool: int, country: bool = False) -> DataFrame:
     """(camp, bin, tier, peer, r, n): for each activity bin of a campaign's members the peers of the first tier that has enough.
 
     Tiers: the same bin, one less, one more, those three, any on the port (needs no minimum).
+    With ``country`` there is a pool for each (camp, cc, bin), and before those come four
+    tiers within the country: the same bin (-3), one less (-2), one more (-1), any bin (0).
     """
-    q = p.select("src", "top1", scalar.activity_bin(F.col("nact")).alias("bin"))
+    own = ["cc"] if country else []
+    keys = ["camp", *own, "bin"]
+    q = p.select("src", "top1", "cc", scalar.activity_bin(F.col("nact")).alias("bin")) if country else p.select("src", "top1", scalar.activity_bin(F.col("nact")).alias("bin"))
     port = members.join(q, "src").groupBy("camp").agg(F.expr("mode(top1, true)").alias("port"))
-    mine = members.join(q, "src").select("camp", "bin").distinct().join(port, "camp")
-    cand = mine.join(q.select(F.col("top1").alias("port"), F.col("src").alias("peer"), F.col("bin").alias("pb")), "port").join(members.select("camp", F.col("src").alias("peer")), ["camp", "peer"], "left_anti")
+    mine = members.join(q, "src").select(*keys).distinct().join(port, "camp")
+    other = q.select(F.col("top1").alias("port"), F.col("src").alias("peer"), F.col("bin").alias("pb"), *[F.col("cc").alias("pc")] * country)
+    cand = mine.join(other, "port").join(members.select("camp", F.col("src").alias("peer")), ["camp", "peer"], "left_anti")
     d = F.col("pb") - F.col("bin")
-    tiers = F.array_compact(F.array(F.when(d == 0, 1), F.when(d == -1, 2), F.when(d == 1, 3), F.when(F.abs(d) <= 1, 4), F.lit(5)))
-    cand = cand.select("camp", "bin", "peer", F.explode(tiers).alias("tier"))
-    n = cand.groupBy("camp", "bin", "tier").agg(F.count("*").alias("n")).filter((F.col("n") >= min_pool) | (F.col("tier") == 5))
-    best = n.groupBy("camp", "bin").agg(F.min(F.struct("tier", "n")).alias("x")).select("camp", "bin", "x.*")
-    out = cand.join(F.broadcast(best), ["camp", "bin", "tier"])
-    return out.withColumn("r", (F.row_number().over(W.partitionBy("camp", "bin").orderBy("peer")) - 1).cast("bigint"))
+    near = [F.when(F.col("pc").eqNullSafe(F.col("cc")) & on, t) for t, on in ((-3, d == 0), (-2, d == -1), (-1, d == 1), (0, F.lit(True)))] if country else []
+    tiers = F.array_compact(F.array(*near, F.when(d == 0, 1), F.when(d == -1, 2), F.when(d == 1, 3), F.when(F.abs(d) <= 1, 4), F.lit(5)))
+    cand = cand.select(*keys, "peer", F.explode(tiers).alias("tier"))
+    n = cand.groupBy(*keys, "tier").agg(F.count("*").alias("n")).filter((F.col("n") >= min_pool) | (F.col("tier") == 5))
+    best = n.groupBy(*keys).agg(F.min(F.struct("tier", "n")).alias("x")).select(*keys, "x.*")
+    out = cand.join(best, [*keys, "tier"])
+    return out.withColumn("r", (F.row_number().over(W.partitionBy(*keys).orderBy("peer")) - 1).cast("bigint"))
+
+
+def country_fallback(p: DataFrame, members: DataFrame, pools: DataFrame, tested: DataFrame) -> DataFrame:
+    """(camp, members, fallback, majority): members of the campaigns in ``tested`` whose country has too few peers on the port, and whether most of a campaign's are such."""
+    got = pools.filter("tier <= 0").select("camp", "cc", "bin").distinct().withColumn("own", F.lit(True))
+    m = members.join(tested.select("camp"), "camp", "left_semi").join(p.select("src", "cc", scalar.activity_bin(F.col("nact")).alias("bin")), "src").join(got, ["camp", "cc", "bin"], "left")
+    g = m.groupBy("camp").agg(F.count("*").alias("members"), F.count_if(F.col("own").isNull()).alias("fallback"))
+    return g.withColumn("majority", F.col("fallback") * 2 > F.col("members"))
 
 
 def population_null(pairs: DataFrame, p: DataFrame, pools: DataFrame, obs: DataFrame, b: int, seed: int) -> DataFrame:
-    """Each member replaced by a random peer of its pool."""
-    q = p.select("src", "words", scalar.activity_bin(F.col("nact")).alias("bin"))
-    size = F.broadcast(pools.groupBy("camp", "bin").agg(F.max("n").alias("n")))
-    used = pairs.select("camp", F.col("a").alias("src")).union(pairs.select("camp", "b")).distinct().join(q.select("src", "bin"), "src").join(size, ["camp", "bin"])
+    """Each member replaced by a random peer of its pool (of its country's, where pools have a country)."""
+    keys = ["camp", *[k for k in ("cc", "bin") if k in pools.columns]]
+    q = p.select("src", "words", *[k for k in keys if k == "cc"], scalar.activity_bin(F.col("nact")).alias("bin"))
+    size = pools.groupBy(*keys).agg(F.max("n").alias("n"))
+    used = pairs.select("camp", F.col("a").alias("src")).union(pairs.select("camp", "b")).distinct().join(q.select("src", *keys[1:]), "src").join(size, keys)
     used = used.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(b)))).withColumn("r", scalar.draw(F.col("src") * 7919 + F.col("b").cast("bigint") * 104729 + seed + 1, F.col("n")))
-    got = used.join(pools.select("camp", "bin", "r", "peer"), ["camp", "bin", "r"]).join(q.select(F.col("src").alias("peer"), "words"), "peer").select("camp", "src", "b", "words")
+    got = used.join(pools.select(*keys, "r", "peer"), [*keys, "r"]).join(q.select(F.col("src").alias("peer"), "words"), "peer").select("camp", "src", "b", "words")
     x = pairs.select("camp", "a", F.col("b").alias("c"))
     j = x.join(got.select("camp", F.col("src").alias("a"), "b", F.col("words").alias("wa")), ["camp", "a"]).join(got.select("camp", F.col("src").alias("c"), "b", F.col("words").alias("wc")), ["camp", "c", "b"])
     return verdict(j.groupBy("camp", "b").agg(F.avg(bitmap.jaccard(F.col("wa"), F.col("wc"))).alias("t")), obs, "pop")
 
 
+def refine(null, pairs: DataFrame, obs: DataFrame, name: str, draws: list[int], screens: list[float], seed: int) -> DataFrame:
+    """verdict() rows, tested anew with more, fresh draws where p is small: draws[k+1] draws for the campaigns whose p after draws[k] is at most screens[k].
+
+    ``null(pairs, obs, draws, seed)`` gives the rows of one test. Each pass is written, as the next one reads it twice, and covers only the pairs of the campaigns left.
+    """
+    out = stage(null(pairs, obs, draws[0], seed), f"{name}-0")
+    for k, (b, most) in enumerate(zip(draws[1:], screens, strict=True), 1):
+        left = out.filter(F.col(f"p_{name}") <= most).select("camp")
+        again = stage(null(pairs.join(left, "camp", "left_semi"), obs.join(left, "camp", "left_semi"), b, seed + 1000 * k), f"{name}-{k}")
+        out = out.join(again, "camp", "left_anti").unionByName(again)
+    return out
+
+
 def step_up(tests: DataFrame, p: str, q: float, by: list[str] | None = None, harmonic: bool = False) -> DataFrame:
     """tests with ``passed``: Benjamini-Hochberg, or with ``harmonic`` Benjamini-Yekutieli, over all rows or per group. Tests are campaigns, not sources."""
     w = W.partitionBy(*(by or [F.lit(1)]))

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..config import SMALL as CFG
-from ..functions import bitmap, scalar
-from ..operators import campaigns, cluster, lineage, profiles, reports, scores, synchrony
+from ..functions import bitmap, intervals, scalar
+from ..operators import campaigns, cluster, lineage, profiles, reports, scores, sentences, synchrony
 from ..operators.stage import stage
 from ..sources import flows as src
+from ..sources import packets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -442,3 +443,83 @@ def hdbscan_modes(spark, d):
 def entry(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: decisions for the campaigns of a week."""
     return campaign_decisions(spark, d)
+
+
+# ---------------------------------------------------------------- country tiers, staged tests
+CC_POOLS = f"""{PEERS}, pb AS (SELECT src, top1, cc, {BIN} AS bin FROM prof), mine AS (SELECT DISTINCT members.camp, cc, bin, port FROM members JOIN pb USING (src) JOIN tp USING (camp)),
+cand AS (SELECT mine.camp, mine.cc, mine.bin, pb.src AS peer, pb.bin - mine.bin AS dd, pb.cc = mine.cc AS same FROM mine JOIN pb ON top1 = port WHERE NOT EXISTS (SELECT 1 FROM members WHERE members.camp = mine.camp AND members.src = pb.src)),
+tiers AS (SELECT camp, cc, bin, peer, unnest(list_filter([CASE WHEN same AND dd = 0 THEN -3 END, CASE WHEN same AND dd = -1 THEN -2 END, CASE WHEN same AND dd = 1 THEN -1 END, CASE WHEN same THEN 0 END,
+ CASE WHEN dd = 0 THEN 1 END, CASE WHEN dd = -1 THEN 2 END, CASE WHEN dd = 1 THEN 3 END, CASE WHEN abs(dd) <= 1 THEN 4 END, 5], lambda x: x IS NOT NULL)) AS tier FROM cand),
+pick AS (SELECT camp, cc, bin, min(tier) AS tier FROM (SELECT camp, cc, bin, tier, count(*) AS n FROM tiers GROUP BY ALL) WHERE n >= {{least}} OR tier = 5 GROUP BY camp, cc, bin)"""
+#: The test tables have few sources of one country on a port, so its tiers need fewer.
+CC_LEAST = 2
+
+
+@query("country_peer_tiers", f"WITH {BLOCKS}, {CC_POOLS.format(least=CC_LEAST)} SELECT CAST(camp AS BIGINT) AS camp, cc, CAST(bin AS BIGINT) AS bin, CAST(tier AS BIGINT) AS tier, count(*) AS n, min(peer) AS first_peer FROM tiers JOIN pick USING (camp, cc, bin, tier) GROUP BY ALL")
+def country_peer_tiers(spark, d):
+    pools = synchrony.peer_pools(*blocked(spark, d), CC_LEAST, country=True)
+    return rounded(pools.groupBy("camp", "cc", "bin", "tier").agg(F.count("*").alias("n"), F.min("peer").alias("first_peer")))
+
+
+@query("country_fallback", f"""WITH {BLOCKS}, {CC_POOLS.format(least=CC_LEAST)}, g AS (SELECT camp, count(*) AS members, count(*) FILTER (WHERE coalesce(tier, 5) > 0) AS fallback FROM members JOIN pb USING (src) JOIN pc USING (camp) LEFT JOIN pick USING (camp, cc, bin) WHERE peers >= pc.m GROUP BY camp)
+ SELECT CAST(camp AS BIGINT) AS camp, members, fallback, fallback * 2 > members AS majority FROM g""")
+def country_fallback(spark, d):
+    p, m = blocked(spark, d)
+    tested = synchrony.peer_counts(p, m, CFG.peer_ratio).filter("testable")
+    return rounded(synchrony.country_fallback(p, m, synchrony.peer_pools(p, m, CC_LEAST, country=True), tested))
+
+
+STEPS, SCREENS = [20, 40, 80], [0.9, 0.5]
+
+
+def staged_sql() -> str:
+    parts = [PAIRS]
+    for k, b in enumerate(STEPS):
+        turn = lambda s: scalar.draw_sql(f"{s} * 7919 + k * 104729 + {CFG.seed + 1000 * k}", "7")  # noqa: B023, E731
+        left = f"WHERE camp IN (SELECT camp FROM s{k - 1} WHERE p_rot <= {SCREENS[k - 1]})" if k else ""
+        parts.append(f"""t{k} AS (SELECT camp, k, avg({JAC('wa', 'wb')}) AS t FROM (SELECT camp, k, {TURN('p.words', turn('a'))} AS wa, {TURN('q.words', turn('b'))} AS wb FROM pairs JOIN prof p ON p.src = a JOIN prof q ON q.src = b CROSS JOIN (SELECT unnest(range(1, {b} + 1)) AS k) {left}) GROUP BY camp, k), v{k} AS ({VERDICT('rot', f't{k}')}),
+ s{k} AS (SELECT * FROM v{k}{f" UNION ALL SELECT * FROM s{k - 1} WHERE camp NOT IN (SELECT camp FROM v{k})" if k else ""})""")
+    return f"WITH {', '.join(parts)} SELECT CAST(camp AS BIGINT) AS camp, round(p_rot, 6) AS p_rot FROM s{len(STEPS) - 1}"
+
+
+@query("staged_rotation_p", staged_sql())
+def staged_rotation_p(spark, d):
+    p, m = blocked(spark, d)
+    pairs = stage(synchrony.member_pairs(m, CFG.pairs, CFG.seed), "pairs")
+    obs = stage(synchrony.coactivity(pairs, p), "coactivity")
+    test = lambda x, o, b, seed: synchrony.rotation_null(x, p, o, b, 7, seed)
+    return rounded(synchrony.refine(test, pairs, obs, "rot", STEPS, SCREENS, CFG.seed).select("camp", "p_rot"))
+
+
+# ---------------------------------------------------------------- intervals, sentences, packets
+@query("rate_intervals")
+def rate_intervals(spark, d):
+    p = profiled(spark, d).select("src", "pk", "span").withColumn("rate", intervals.rate_bounds(F.col("pk"), F.col("span")))
+    return rounded(p.select("src", "pk", "span", "rate.lo", "rate.hi"))
+
+
+@query("service_sentences", f"""WITH {FLOWS}, hp AS (SELECT h, src, port, count(*) AS n FROM flows GROUP BY ALL), hs AS (SELECT h, src, min(nullif(t, 0)) AS t0, max(t) AS t1, sum(pk) AS pk, count(*) AS tot FROM flows GROUP BY ALL),
+ keep AS (SELECT src FROM hs GROUP BY src HAVING sum(pk) >= 10), svc AS (SELECT port, row_number() OVER (ORDER BY count(*) DESC, port) - 1 AS service FROM hp SEMI JOIN keep USING (src) GROUP BY port ORDER BY service LIMIT 3),
+ w AS (SELECT coalesce(service, 3) AS service, h, src, t0, t1, least(5, greatest(1, round_even(pk * n::DOUBLE / tot, 0)))::BIGINT AS k FROM hp SEMI JOIN keep USING (src) JOIN hs USING (h, src) LEFT JOIN svc USING (port)),
+ e AS (SELECT *, t0 + (t1 - t0) * (i + 0.5::DOUBLE) / k AS tm FROM (SELECT *, unnest(range(0, k)) AS i FROM w)), o AS (SELECT service, h, src, tm, row_number() OVER (PARTITION BY service, h ORDER BY tm, src) - 1 AS pos FROM e)
+ SELECT CAST(service AS BIGINT) AS service, h, CAST(pos // 4 AS BIGINT) AS part, string_agg(src, ' ' ORDER BY pos) AS words FROM o GROUP BY service, h, pos // 4""")
+def service_sentences(spark, d):
+    f = src.event_flows(spark, d)
+    hours = f.groupBy("h", "src").agg(F.min(F.nullif("t", F.lit(0))).alias("t0"), F.max("t").alias("t1"), F.sum("pk").alias("pk"))
+    out = sentences.sentences(hours, f.groupBy("h", "src", "port").agg(F.count("*").alias("n")), n_services=3, longest=4)
+    return rounded(out.withColumn("words", F.array_join(F.transform("words", lambda w: w.cast("string")), " ")))
+
+
+@query("packet_fields", f"""WITH {FLOWS} SELECT id, CAST(CASE WHEN id % 2 = 0 THEN 6 ELSE 17 END AS BIGINT) AS proto, dst, port AS sport, 64::BIGINT AS ttl, id % 65536 AS ipid, id % 2 AS df, CASE WHEN id % 2 = 0 THEN 1024 END::BIGINT AS win,
+ CASE WHEN id % 2 = 0 THEN 'M1460.S.N.W7.N.N' END AS optsig, CASE WHEN id % 2 = 0 THEN CASE WHEN id % 4 = 0 OR dst = 0 THEN 'D' ELSE 'Z' END END AS seqrel, CASE WHEN id % 2 = 1 THEN 4 END::BIGINT AS plen, CASE WHEN id % 2 = 1 THEN 'deadbeef' END AS phead FROM flows""")
+def packet_fields(spark, d):
+    """Frames made of events (TCP and UDP in turn, a third with a VLAN tag) and taken apart again."""
+    f = src.event_flows(spark, d)
+    word = lambda c, n: F.lpad(F.hex(c.cast("bigint")), n, "0")
+    even = F.col("id") % 2 == 0
+    ip = F.concat(F.lit("45000000"), word(F.col("id") % 65536, 4), F.when(even, "0000").otherwise("4000"), F.lit("40"), F.when(even, "06").otherwise("11"), F.lit("0000f0000001"), word(F.col("dst"), 8))
+    tcp = F.concat(word(F.col("port"), 4), F.lit("0050"), F.when(F.col("id") % 4 == 0, word(F.col("dst"), 8)).otherwise("00000000"), F.lit("00000000" "8002" "0400" "0000" "0000" "020405b4" "0402" "01" "030307" "0101"))
+    udp = F.concat(word(F.col("port"), 4), F.lit("0035000c0000deadbeef"))
+    frame = F.concat(F.lit("00" * 12), F.when(F.col("id") % 3 == 0, "81000001").otherwise(""), F.lit("0800"), ip, F.when(even, tcp).otherwise(udp))
+    rows = f.select("id", F.base64(F.unhex(frame)).alias("frame"))
+    return rounded(packets.parse_frames(rows, "frame").drop("frame"))
