@@ -215,6 +215,17 @@ def test_embeddings(spark):
     assert all((got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True) for i in range(900, 905)) and len(got) == len(rows)
 
 
+def test_groups_linked_beyond_full_lists(spark):
+    rng = np.random.default_rng(4)
+    a, b = np.linalg.qr(rng.standard_normal((64, 2)))[0].T
+    x = np.repeat([a, 0.927 * a + (1 - 0.927**2) ** 0.5 * b], 30, 0) + rng.normal(0, 0.003, (60, 64))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    assert s.min() >= 0.9 and all(set(np.argsort(-r)[:11] // 30) == {i // 30} for i, r in enumerate(s))
+    got = knn_dedup.near_duplicates(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    assert {(r.vec_id, r.n_links, r.component_id, r.kept) for r in got} == {(i, 59, 0, i == 0) for i in range(60)}
+
+
 def test_no_embeddings(spark):
     assert knn_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 

@@ -7,10 +7,13 @@
 3. NN-descent: every vector's neighbours and (at most as many) reverse
    neighbours are compared with each other, lists keep the best ``KEEP``, until
    a round brings few new links.
-4. Saturated lists (all of a list's entries are links) are enlarged to all
-   members of their component, compared in blocks of ``BLOCK``; only counts
-   leave a block, so no list grows in memory.
-5. Recall is audited: ``AUDIT`` vectors drawn by hash against all rows. Below
+4. A saturated list (all of its entries are links) may hide links to other
+   components behind closer members of its own. So vectors with such lists are
+   searched again, with lists of members of other components only, and linked
+   components merge, until no such list holds a link.
+5. Saturated lists are enlarged to all members of their component, compared in
+   blocks of ``BLOCK``; only counts leave a block, so no list grows in memory.
+6. Recall is audited: ``AUDIT`` vectors drawn by hash against all rows. Below
    ``RECALL`` the search goes on with new tables.
 
 A link is a cosine, in double precision, of the threshold or more.
@@ -77,30 +80,42 @@ def cells(vecs: DataFrame, kind: str, bits: int, tables: range) -> DataFrame:
 
 
 def compared(groups: DataFrame, kind: str) -> DataFrame:
-    """(u, w, c): for each vector of a group(ids, vs) its ``KEEP`` nearest of the group, and c their cosine."""
+    """(u, w, c): for each vector of a group(ids, vs) its ``KEEP`` nearest of the group, and c their cosine. With comps, nearest of other components only."""
+    apart = "comps" in groups.columns
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             us, ws, cs = [], [], []
-            for ids, vs in zip(batch.column("ids").to_pylist(), batch.column("vs").to_pylist(), strict=True):
-                if len(ids) < 2:
+            comps = batch.column("comps").to_pylist() if apart else [None] * len(batch)
+            for ids, vs, own in zip(batch.column("ids").to_pylist(), batch.column("vs").to_pylist(), comps, strict=True):
+                if len(ids) < 2 or apart and len(set(own)) < 2:
                     continue
                 x, ids = unit(vs, kind), np.array(ids)
                 s = x @ x.T
                 np.fill_diagonal(s, -2)
+                if apart:
+                    own = np.array(own)
+                    s[own[:, None] == own] = -2
                 k = min(KEEP, len(ids) - 1)
                 best = np.argpartition(-s, k - 1, 1)[:, :k]
-                us.append(np.repeat(ids, k))
-                ws.append(ids[best].ravel())
-                cs.append(np.take_along_axis(s, best, 1).ravel())
+                got = np.take_along_axis(s, best, 1).ravel()
+                us.append(np.repeat(ids, k)[got > -2])
+                ws.append(ids[best].ravel()[got > -2])
+                cs.append(got[got > -2])
             if us:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (us, ws, cs)], ["u", "w", "c"])
 
     return groups.mapInArrow(run, "u long, w long, c double")
 
 
+def gathered(rows: DataFrame, *by: str) -> DataFrame:
+    """(ids, vs) of each group of rows(id, v), and comps where rows have comp."""
+    g = rows.groupBy(*by).agg(F.collect_list(F.struct(*[k for k in ("id", "v", "comp") if k in rows.columns])).alias("g"))
+    return g.select(F.col("g.id").alias("ids"), F.col("g.v").alias("vs"), *[F.col("g.comp").alias("comps")] * ("comp" in rows.columns))
+
+
 def best(edges: DataFrame) -> DataFrame:
     """The ``KEEP`` best entries of each list."""
     top = edges.groupBy("u", "w").agg(F.max("c").alias("c")).groupBy("u").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("d"), "w"))), 1, KEEP).alias("l"))
@@ -109,11 +124,10 @@ def best(edges: DataFrame) -> DataFrame:
 
 def start(vecs: DataFrame, kind: str, n: int, tables: range) -> DataFrame:
     bits = max(0, math.ceil(math.log2(max(1, n) / LEAF)))
-    at = c.cut(cells(vecs, kind, bits, tables), "cells")
+    at = c.cut(cells(vecs.select("id", "v"), kind, bits, tables), "cells")
     large = at.groupBy("t", "cell").agg(F.count("*").alias("m")).filter(F.col("m") > CELL)
     dealt = at.join(large, ["t", "cell"], "left").withColumn("part", F.when(F.col("m").isNotNull(), F.pmod(F.xxhash64("t", "id"), F.ceil(F.col("m") * 2 / CELL))).otherwise(0))
-    groups = dealt.join(vecs, "id").groupBy("t", "cell", "part").agg(F.collect_list(F.struct("id", "v")).alias("g"))
-    return compared(groups.select(F.col("g.id").alias("ids"), F.col("g.v").alias("vs")), kind)
+    return compared(gathered(dealt.join(vecs, "id"), "t", "cell", "part"), kind)
 
 
 def refine(edges: DataFrame, vecs: DataFrame, kind: str) -> DataFrame:
@@ -121,8 +135,40 @@ def refine(edges: DataFrame, vecs: DataFrame, kind: str) -> DataFrame:
     salted = edges.select(F.col("w").alias("u"), F.col("u").alias("w"), F.pmod(F.xxhash64("u", "w"), F.lit(KEEP)).alias("slot"))
     reverse = salted.groupBy("u", "slot").agg(F.min("w").alias("w")).select("u", "w")
     member = edges.select("u", "w").union(reverse).union(edges.select("u", F.col("u").alias("w"))).distinct()
-    groups = member.join(vecs, member.w == vecs.id).groupBy("u").agg(F.collect_list(F.struct("id", "v")).alias("g"))
-    return compared(groups.select(F.col("g.id").alias("ids"), F.col("g.v").alias("vs")), kind)
+    return compared(gathered(member.join(vecs, member.w == vecs.id), "u"), kind)
+
+
+def merged(vecs: DataFrame, edges: DataFrame, comp: DataFrame, kind: str, threshold: float, tables: int) -> DataFrame:
+    """The components (node, comp) after merging those between which vectors with saturated lists have a link.
+
+    Such a vector's list has no place left for what is farther than ``KEEP`` of
+    its own. Here its list holds only the nearest of other components, so a cap
+    hides no component that has a link: a round merges each component with at
+    least one it is linked to, and new rounds with new tables follow until none
+    finds a link.
+    """
+    links = edges.filter(F.col("c") >= threshold)
+    full = c.cut(links.groupBy("u").agg(F.count("*").alias("k")).filter(F.col("k") >= KEEP).select(F.col("u").alias("node")), "full")
+    own = links.join(full, links.u == full.node, "left_semi").select("u", "w", "c")
+    while True:
+        at = c.cut(full.join(comp, "node").join(vecs.select(F.col("id").alias("node"), "v"), "node").select(F.col("node").alias("id"), "v", "comp"), "apart")
+        n = at.agg(F.count("*").alias("n"), F.min("comp") != F.max("comp")).first()
+        if not n[1]:
+            return comp
+        near = c.cut(best(start(at, kind, n[0], range(tables, tables + TABLES))), "near")
+        tables += TABLES
+        for _ in range(ROUNDS):
+            if near.filter(F.col("c") >= threshold).limit(1).count():
+                break
+            old, near = near, c.cut(best(near.union(refine(own.union(near), at, kind))), "near")
+            c.drop(old)
+        label = at.select("id", "comp")
+        pairs = near.filter(F.col("c") >= threshold).join(label.select(F.col("id").alias("u"), F.col("comp").alias("a")), "u").join(label.select(F.col("id").alias("w"), F.col("comp").alias("b")), "w").select("a", "b").distinct()
+        pairs = c.cut(pairs, "pairs")
+        if not pairs.limit(1).count():
+            return comp
+        to = c.components(pairs).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+        comp = c.cut(comp.join(to, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "components")
 
 
 def enlarged(vecs: DataFrame, comp: DataFrame, kind: str, threshold: float) -> DataFrame:
@@ -200,7 +246,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
         if found >= RECALL * there:
             break
     links = edges.filter(F.col("c") >= threshold)
-    comp = c.cut(c.components(links, "u", "w"), "components")
+    comp = merged(vecs, edges, c.cut(c.components(links, "u", "w"), "components"), kind, threshold, done)
     count = links.select("u", "w").union(links.select("w", "u")).distinct()
     full = links.groupBy("u").agg(F.count("*").alias("k")).filter(F.col("k") >= KEEP)
     deep = comp.join(full.join(comp, F.col("u") == F.col("node")).select("comp").distinct(), "comp", "left_semi")
