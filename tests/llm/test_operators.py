@@ -226,6 +226,17 @@ def test_groups_linked_beyond_full_lists(spark):
     assert {(r.vec_id, r.n_links, r.component_id, r.kept) for r in got} == {(i, 59, 0, i == 0) for i in range(60)}
 
 
+def test_lost_links_beside_a_hot_group_are_refused(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = np.linalg.qr(rng.standard_normal((64, 21)))[0].T
+    x = np.repeat(base, [100] + [2] * 20, 0) + rng.normal(0, 0.003, (140, 64))
+    real = knn_dedup.compared
+    monkeypatch.setattr(knn_dedup, "compared", lambda groups, kind: real(groups, kind).filter("u not between 100 and 115"))
+    monkeypatch.setattr(knn_dedup, "TRIES", 1)
+    with pytest.raises(RuntimeError, match="recall of links is 0.600"):
+        knn_dedup.near_duplicates(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+
+
 def test_no_embeddings(spark):
     assert knn_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 

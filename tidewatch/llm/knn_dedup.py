@@ -13,8 +13,10 @@
    components merge, until no such list holds a link.
 5. Saturated lists are enlarged to all members of their component, compared in
    blocks of ``BLOCK``; only counts leave a block, so no list grows in memory.
-6. Recall is audited: ``AUDIT`` vectors drawn by hash against all rows. Below
-   ``RECALL`` the search goes on with new tables.
+6. Recall is audited: ``AUDIT`` vectors drawn by hash of those without a link
+   found, of those in small groups and of those in components with a saturated
+   list, against all rows. Below ``RECALL`` the search goes on with new tables;
+   if it is not reached in ``TRIES`` the result is refused.
 
 A link is a cosine, in double precision, of the threshold or more.
 """
@@ -31,7 +33,7 @@ from . import _common as c
 
 THRESHOLD = 0.9
 TABLES, CELL, LEAF, KEEP, ROUNDS, BLOCK = 24, 256, 64, 10, 3, 512
-AUDIT, RECALL, TRIES = 256, 0.98, 3
+AUDIT, RECALL, TRIES = 256, 0.98, 8
 
 
 def unit(vectors: list[bytes], dtype: str) -> np.ndarray:
@@ -172,7 +174,7 @@ def merged(vecs: DataFrame, edges: DataFrame, comp: DataFrame, kind: str, thresh
 
 
 def enlarged(vecs: DataFrame, comp: DataFrame, kind: str, threshold: float) -> DataFrame:
-    """(id, links): how many links, copies counted, each member of the components (node, comp) has within its component, block against block."""
+    """(id, links, near): how many links each member of the components (node, comp) has within its component, itself among them, with copies and without, block against block."""
     at = comp.join(vecs, comp.node == vecs.id).select("comp", "id", "v", "copies")
     size = comp.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     at = at.join(size, "comp").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
@@ -186,17 +188,26 @@ def enlarged(vecs: DataFrame, comp: DataFrame, kind: str, threshold: float) -> D
         for batch in batches:
             for m in batch.to_pylist():
                 x, y = unit(m["vs"], kind), unit(m["ws"], kind)
-                n = ((x @ y.T >= threshold) * np.array(m["ms"], np.int64)).sum(1)
-                yield pa.RecordBatch.from_arrays([pa.array(m["ids"]), pa.array(n)], ["id", "links"])
+                hit = x @ y.T >= threshold
+                yield pa.RecordBatch.from_arrays([pa.array(m["ids"]), pa.array((hit * np.array(m["ms"], np.int64)).sum(1)), pa.array(hit.sum(1).astype(np.int64))], ["id", "links", "near"])
 
-    return left.join(right, "comp").select("ids", "vs", "ws", "ms").mapInArrow(run, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+    return left.join(right, "comp").select("ids", "vs", "ws", "ms").mapInArrow(run, "id long, links long, near long").groupBy("id").agg(F.sum("links").alias("links"), F.sum("near").alias("near"))
 
 
-def audit(vecs: DataFrame, edges: DataFrame, kind: str, threshold: float) -> tuple[int, int]:
-    """(links found, links there are) of ``AUDIT`` vectors drawn by hash, compared with all rows; a list full of links counts as what it can hold."""
-    drawn = vecs.select("id", "v").orderBy(F.xxhash64(F.lit(3), "id"), "id").limit(AUDIT).collect()
+def audit(vecs: DataFrame, per: DataFrame, deep: DataFrame, kind: str, threshold: float) -> float:
+    """Recall of per(id, near): the mean over vectors that have links of the share found, the lesser of that outside and that inside the components deep(node, comp).
+
+    Each of three parts (no link found, small groups, deep components) is drawn
+    from alike, so a hot group does not outweigh the rest; outside deep the two
+    parts count by their sizes. Links are those to other vectors, all of them.
+    """
+    part = F.when(F.col("node").isNotNull(), 2).when(F.col("near") > 0, 1).otherwise(0)
+    at = vecs.select("id", "v").join(per.select("id", "near"), "id", "left").join(deep.select("node"), F.col("id") == F.col("node"), "left").select("id", "v", F.coalesce("near", F.lit(0)).alias("near"), part.alias("part"))
+    at = c.cut(at, "audit")
+    sizes = {r.part: r["count"] for r in at.groupBy("part").count().collect()}
+    drawn = [r for k in sorted(sizes) for r in at.filter(F.col("part") == k).orderBy(F.xxhash64(F.lit(3), "id"), "id").limit(AUDIT).collect()]
     if not drawn:
-        return 0, 0
+        return 1.0
     ids, x = np.array([r.id for r in drawn]), unit([r.v for r in drawn], kind)
     held = vecs.sparkSession.sparkContext.broadcast((ids, x))
 
@@ -204,16 +215,22 @@ def audit(vecs: DataFrame, edges: DataFrame, kind: str, threshold: float) -> tup
         import pyarrow as pa
 
         ids, x = held.value
+        n = np.zeros(len(ids), np.int64)
         for batch in batches:
             if len(batch):
                 own = np.array(batch.column("id"))
-                hit = (unit(batch.column("v").to_pylist(), kind) @ x.T >= threshold) & (own[:, None] != ids)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hit.sum(0).astype(np.int64))], ["u", "n"])
+                n += ((unit(batch.column("v").to_pylist(), kind) @ x.T >= threshold) & (own[:, None] != ids)).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], ["u", "n"])
 
-    there = vecs.mapInArrow(run, "u long, n long").groupBy("u").agg(F.least(F.sum("n"), F.lit(KEEP)).alias("n"))
-    found = edges.filter(F.col("c") >= threshold).groupBy("u").agg(F.least(F.count("*"), F.lit(KEEP)).alias("m"))
-    r = there.join(found, "u", "left").agg(F.sum(F.coalesce("m", F.lit(0))).alias("m"), F.sum("n").alias("n")).first()
-    return int(r.m or 0), int(r.n or 0)
+    there = {r.u: r.n for r in vecs.select("id", "v").mapInArrow(run, "u long, n long").groupBy("u").agg(F.sum("n").alias("n")).collect()}
+    c.drop(at)
+    found, linked = np.zeros(3), np.zeros(3)
+    for r in drawn:
+        if there[r.id]:
+            weight = sizes[r.part] / min(AUDIT, sizes[r.part])
+            found[r.part] += weight * min(1, r.near / there[r.id])
+            linked[r.part] += weight
+    return min((f / n for f, n in ((found[:2].sum(), linked[:2].sum()), (found[2], linked[2])) if n), default=1.0)
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -223,7 +240,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     null or non-finite components have no links and are their own component.
     Equal vectors are linked with each other. Rows that repeat a vec_id are
     vectors of their own for n_links and one node for components. A null vec_id
-    is linked with nothing and kept. An empty table gives an empty result.
+    is linked with nothing and kept. An empty table gives an empty result. If
+    the audit does not measure ``RECALL`` in ``TRIES``, RuntimeError is raised.
     """
     packed, kind = valid(vectors)
     packed = c.cut(packed, "vectors")
@@ -242,18 +260,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
             if now <= before * 1.002:
                 break
             before = now
-        found, there = audit(vecs, edges, kind, threshold)
-        if found >= RECALL * there:
+        links = edges.filter(F.col("c") >= threshold)
+        comp = merged(vecs, edges, c.cut(c.components(links, "u", "w"), "components"), kind, threshold, done)
+        count = links.select("u", "w").union(links.select("w", "u")).distinct()
+        full = links.groupBy("u").agg(F.count("*").alias("k")).filter(F.col("k") >= KEEP)
+        deep = comp.join(full.join(comp, F.col("u") == F.col("node")).select("comp").distinct(), "comp", "left_semi")
+        deep = c.cut(deep.select("node", "comp"), "saturated")
+        listed = count.join(vecs.select(F.col("id").alias("w"), "copies"), "w").groupBy("u").agg(F.sum("copies").alias("links"), F.count("*").alias("near")).join(deep, F.col("u") == F.col("node"), "left_anti").select(F.col("u").alias("id"), "links", "near")
+        whole = enlarged(vecs, deep, kind, threshold).join(vecs.select("id", "copies"), "id").select("id", (F.col("links") - F.col("copies")).alias("links"), (F.col("near") - 1).alias("near"))
+        per = c.cut(listed.union(whole), "counts")
+        recall = audit(vecs, per, deep, kind, threshold)
+        if recall >= RECALL:
             break
-    links = edges.filter(F.col("c") >= threshold)
-    comp = merged(vecs, edges, c.cut(c.components(links, "u", "w"), "components"), kind, threshold, done)
-    count = links.select("u", "w").union(links.select("w", "u")).distinct()
-    full = links.groupBy("u").agg(F.count("*").alias("k")).filter(F.col("k") >= KEEP)
-    deep = comp.join(full.join(comp, F.col("u") == F.col("node")).select("comp").distinct(), "comp", "left_semi")
-    deep = c.cut(deep.select("node", "comp"), "saturated")
-    listed = count.join(vecs.select(F.col("id").alias("w"), "copies"), "w").groupBy("u").agg(F.sum("copies").alias("links")).join(deep, F.col("u") == F.col("node"), "left_anti").select(F.col("u").alias("id"), F.col("links"))
-    whole = enlarged(vecs, deep, kind, threshold).join(vecs.select("id", "copies"), "id").select("id", (F.col("links") - F.col("copies")).alias("links"))
-    per = listed.union(whole)
+    else:
+        raise RuntimeError(f"recall of links is {recall:.3f} after {done} tables; at least {RECALL} is needed")
     info = vecs.join(per, "id", "left").join(comp, F.col("id") == F.col("node"), "left").select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("comp", "id").alias("comp"))
     known = packed.join(info, "v").select("vec_id", "n", "comp").groupBy("vec_id").agg(F.max("n").alias("n"), F.min("comp").alias("comp"))
     out = vectors.select(F.col("vec_id").cast("long")).join(known, "vec_id", "left")
