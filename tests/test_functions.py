@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidewatch.config import Config
+from tidewatch.config import SMALL, SMALL_STAGED, Config
 from tidewatch.functions import bitmap, scalar
 from tidewatch.operators import cluster, synchrony
 from tidewatch.sources import flows
@@ -45,6 +45,18 @@ def test_step_up(spark):
     assert [r.passed for r in synchrony.step_up(df, "p", 0.05).orderBy("i").collect()] == [True, True, True, False, False]
 
 
+def test_one_synchronised_campaign_of_twenty_passes(spark):
+    r = np.random.default_rng(6)
+    pattern = r.integers(0, 1 << 24, (160, 7)) & r.integers(0, 1 << 24, (160, 7)) & r.integers(0, 1 << 24, (160, 7))
+    pattern[:8] = pattern[0]
+    p = spark.createDataFrame([(i, w.tolist(), 80, sum(int(x).bit_count() for x in w), "NA") for i, w in enumerate(pattern)], "src long, words array<int>, top1 int, nact long, cc string").cache()
+    members = spark.createDataFrame([(i, i // 8) for i in range(160)], "src long, camp int").cache()
+    assert synchrony.decide(p, members, SMALL).filter("orchestrated").count() == 0
+    got = {r.camp: r for r in synchrony.decide_staged(p, members, spark.createDataFrame([(2,)], "camp int"), SMALL_STAGED).collect()}
+    assert len(got) == 20 and {k for k, x in got.items() if x.orchestrated} == {0}
+    assert got[0].p == 1 / 10_001 and got[2].residue and got[2].p == 1 and not got[2].testable
+
+
 def test_raw_records(spark, tmp_path):
     (tmp_path / "x.json").write_text('{"SourceIP":"1.2.3.4","Traffic":11,"Port":80,"Packets":2}\nnot json\n{"SourceIP":"1.2.3.5","Traffic":5}\n{"SourceIP":"1.2.3.6","Traffic":0,"Country":"NA"}\n')
     got = {r.SourceIP: r for r in flows.read_raw(spark, str(tmp_path)).collect()}

@@ -36,3 +36,5 @@ class Config:
 
 #: For the small test tables.
 SMALL = Config(min_size=5, min_pool=10, draws=40, pairs=60)
+#: The same blocks and pools, with all draws and pairs.
+SMALL_STAGED = Config(min_size=5, min_pool=10)

@@ -140,3 +140,29 @@ def decide(p: DataFrame, members: DataFrame, cfg: Config, days: int = 7) -> Data
     ok = F.col("testable") & F.col("p_pop").isNotNull()
     t = t.withColumn("p_pop", F.when(ok, F.col("p_pop")).otherwise(1.0)).withColumn("z_pop", F.when(ok, F.col("z_pop")).otherwise(0.0)).withColumn("p", F.greatest("p_rot", "p_pop"))
     return step_up(t, "p", cfg.q).withColumnRenamed("passed", "orchestrated")
+
+
+def decide_staged(p: DataFrame, members: DataFrame, residue: DataFrame, cfg: Config, days: int = 7, slices: int = 32) -> DataFrame:
+    """The whole test: decide() with p refined in both nulls, peers of the members' countries, and residue left out.
+
+    ``residue`` (camp) lists campaigns whose members converge on one destination:
+    they are not tested, enter no correction, and their sources are nobody's
+    peers. They stand in the result with p = 1. The pairs lie in ``slices`` files,
+    as draws multiply each row up to ``draws3`` times.
+    """
+    bad = stage(members.join(residue.select("camp"), "camp", "left_semi"), "residue")
+    p, tested = stage(p.join(bad, "src", "left_anti"), "peers"), stage(members.join(bad.select("camp").distinct(), "camp", "left_anti"), "tested")
+    pairs = stage(member_pairs(tested, cfg.pairs, cfg.seed).repartition(slices), "pairs")
+    obs = stage(coactivity(pairs, p), "coactivity")
+    test = stage(peer_counts(p, tested, cfg.peer_ratio), "counts")
+    pools = stage(peer_pools(p, tested, cfg.min_pool, country=True), "pools")
+    draws, screens = [cfg.draws, cfg.draws2, cfg.draws3], [cfg.screen2, cfg.screen3]
+    rot = refine(lambda x, o, b, seed: rotation_null(x, p, o, b, days, seed), pairs, obs, "rot", draws, screens, cfg.seed)
+    fit = test.filter("testable").select("camp")
+    pop = refine(lambda x, o, b, seed: population_null(x, p, pools, o, b, seed), pairs.join(fit, "camp", "left_semi"), obs.join(fit, "camp", "left_semi"), "pop", draws, screens, cfg.seed)
+    t = test.join(obs, "camp", "left").join(rot, "camp", "left").join(pop, "camp", "left").withColumn("residue", F.lit(False))
+    t = t.fillna(1.0, ["p_rot", "p_pop"]).fillna(0.0, ["coact", "z_rot", "z_pop"]).withColumn("p", F.greatest("p_rot", "p_pop"))
+    out = step_up(t, "p", cfg.q).withColumnRenamed("passed", "orchestrated").select("camp", "residue", "testable", "coact", "p_rot", "z_rot", "p_pop", "z_pop", "p", "orchestrated")
+    one, none = F.lit(1.0), F.lit(0.0)
+    left = bad.select("camp").distinct().select("camp", F.lit(True).alias("residue"), F.lit(False).alias("testable"), none.alias("coact"), one.alias("p_rot"), none.alias("z_rot"), one.alias("p_pop"), none.alias("z_pop"), one.alias("p"), F.lit(False).alias("orchestrated"))
+    return out.unionByName(left)

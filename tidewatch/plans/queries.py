@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..config import SMALL as CFG
+from ..config import SMALL_STAGED
 from ..functions import bitmap, intervals, scalar
 from ..operators import campaigns, cluster, lineage, profiles, reports, scores, sentences, synchrony
 from ..operators.stage import stage
@@ -491,6 +492,13 @@ def staged_rotation_p(spark, d):
     return rounded(synchrony.refine(test, pairs, obs, "rot", STEPS, SCREENS, CFG.seed).select("camp", "p_rot"))
 
 
+@query("campaign_decisions_staged")
+def campaign_decisions_staged(spark, d):
+    p, m = blocked(spark, d)
+    residue = campaigns.residue(src.event_flows(spark, d), m, CFG.residue_members, CFG.residue).filter("residue")
+    return rounded(synchrony.decide_staged(p, m, residue, SMALL_STAGED).drop("z_rot", "z_pop"))
+
+
 # ---------------------------------------------------------------- intervals, sentences, packets
 @query("rate_intervals")
 def rate_intervals(spark, d):
