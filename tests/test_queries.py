@@ -24,6 +24,23 @@ def rows(columns, values):
     return sorted((tuple(clean(r[i]) for i in order) for r in values), key=str)
 
 
+def test_no_event_is_left_out(spark, con):
+    n = con.sql("select count(*) from events").fetchall()[0][0]
+    assert plans.QUERIES["reduce_hourly_all"](spark, SF).agg({"nrec": "sum"}).first()[0] == n
+    assert plans.QUERIES["profile_basic_weeks"](spark, SF).agg({"nrec": "sum"}).first()[0] == n
+
+
+@pytest.mark.parametrize("name", ["profile_basic", "block_campaigns", "sliding_windows"])
+def test_every_week_is_that_of_the_sql(spark, con, name):
+    df = plans.QUERIES[f"{name}_weeks"](spark, SF).cache()
+    weeks = sorted(r.week for r in df.select("week").distinct().collect())
+    assert weeks == [0, 1, 2, 3, 4]
+    for k in weeks:
+        got, want = df.filter(f"week = {k}").drop("week"), con.sql(plans.ORACLES[name].replace("473352", str(473352 + 168 * k)))
+        assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())
+    df.unpersist()
+
+
 @pytest.mark.parametrize("name", sorted(plans.QUERIES))
 def test_query(spark, con, name):
     df = plans.QUERIES[name](spark, SF)

@@ -531,3 +531,41 @@ def packet_fields(spark, d):
     frame = F.concat(F.lit("00" * 12), F.when(F.col("id") % 3 == 0, "81000001").otherwise(""), F.lit("0800"), ip, F.when(even, tcp).otherwise(udp))
     rows = f.select("id", F.base64(F.unhex(frame)).alias("frame"))
     return rounded(packets.parse_frames(rows, "frame").drop("frame"))
+
+
+# ---------------------------------------------------------------- the whole events table
+#: Queries over flows that need no week: they run over all hours as <name>_all.
+ANY_HOURS = """reduce_hourly top_ports mann_kendall dispersion_entropy chi_square time_deltas overlap_lineage continuity lineage_tracks countries_with_others largest_remainder
+timeline reservoir_sample hour_weighted_sample semi_anti_sets infer_block strategy_mix service_sentences packet_fields""".split()
+#: Queries whose bitmaps, nulls or hours are those of a week: they run over every week as <name>_weeks, with a column week.
+BY_WEEK = """profile_basic activity_bitmap profile_fano runs_test block_campaigns residue_convergence landscape signature_top_values landscape_grouping_sets hourly_active kth_onset onset_bursts
+day_presence_drift port_drift_cv pair_coactivity rotation_null_p peer_pool_counts peer_fallback_tiers population_null_p campaign_decisions as_of_list facet_counts size_ccdf sliding_windows
+membership_joins shard_filter hdbscan_modes country_peer_tiers country_fallback staged_rotation_p campaign_decisions_staged rate_intervals""".split()
+FIRST_WEEK = " WHERE floor(epoch(e.ts) / 3600) - 473352 BETWEEN 0 AND 167"
+
+
+def _all(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark, d):
+        with src.week(None):
+            return QUERIES[name](spark, d)
+
+    return run
+
+
+def _weeks(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark, d):
+        out = None
+        for k in src.event_weeks(spark, d) or [0]:
+            with src.week(k):
+                rows = QUERIES[name](spark, d)
+            rows = rows.select(F.lit(k).cast("bigint").alias("week"), *rows.columns)
+            out = rows if out is None else out.unionByName(rows)
+        return out
+
+    return run
+
+
+for _name in ANY_HOURS:
+    query(f"{_name}_all", ORACLES[_name].replace(FIRST_WEEK, "") if _name in ORACLES else None)(_all(_name))
+for _name in BY_WEEK:
+    query(f"{_name}_weeks")(_weeks(_name))

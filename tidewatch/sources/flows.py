@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,11 +57,34 @@ def lookup(key: Column, table: dict) -> Column:
     return out
 
 
+#: The week that event_flows() reads, counted from START_HOUR; None for the whole table.
+WEEK: contextvars.ContextVar[int | None] = contextvars.ContextVar("week", default=0)
+
+
+@contextlib.contextmanager
+def week(k: int | None):
+    """Within it event_flows() gives the flows of week k, its hours counted from 0, or with None all flows of the table."""
+    token = WEEK.set(k)
+    try:
+        yield
+    finally:
+        WEEK.reset(token)
+
+
+def event_weeks(spark: SparkSession, sf_dir: str) -> list[int]:
+    """The weeks in which the events table has rows."""
+    k = F.floor((F.floor(F.unix_timestamp("ts") / 3600) - START_HOUR) / 168)
+    return sorted(r.k for r in load(spark, sf_dir, "events").select(k.alias("k")).distinct().collect() if r.k is not None)
+
+
 def event_flows(spark: SparkSession, sf_dir: str, hours: int = 168) -> DataFrame:
-    """The events table as flow records of a window: (id, src, t, h, port, pmask, pk, bytes, dst, cc, asn, org)."""
+    """The events table as flow records of a window: (id, src, t, h, port, pmask, pk, bytes, dst, cc, asn, org). The window is the first ``hours`` of a week(), or all."""
     e = load(spark, sf_dir, "events")
     h = F.floor(F.unix_timestamp("ts") / 3600) - START_HOUR
-    e = e.withColumn("h", h.cast("bigint")).filter((F.col("h") >= 0) & (F.col("h") < hours))
+    k = WEEK.get()
+    e = e.withColumn("h", h.cast("bigint") - 168 * (k or 0))
+    if k is not None:
+        e = e.filter((F.col("h") >= 0) & (F.col("h") < hours))
     who = load(spark, sf_dir, "customer").join(F.broadcast(load(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
     rows = e.join(who, F.col("user_id") == F.col("c_custkey"))
     return rows.select(
