@@ -138,6 +138,13 @@ def test_scores(docs, labels, op):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
 
 
+@pytest.mark.parametrize("n", [1, 17, 24, 25, 32, 33, 100, 1001])
+def test_runs_of_seventeen_words_are_whole_in_a_window(n):
+    data = np.frombuffer(" ".join(f"w{i}" for i in range(n)).encode(), np.uint8)
+    w = toxicity.Words(np.array([0, len(data)]), data)
+    assert all(any(lo <= p and lo + size >= min(p + 17, n) for lo, size in zip(w.lo, w.size, strict=True)) for p in range(max(1, n - 16)))
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     docs, lab = c.documents(spark, sf, "doc_id", "text", "lang"), spark.read.parquet(f"{sf}/labels.parquet")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import _common as c
 
-SPAN, STEP = 24, 16
+SPAN, STEP = 24, 8
 SAMPLE, LONGEST, EPOCHS = 2000, 12_000, 4
 BITS, WORD_DIM, CHAR_DIM, HIDDEN, ATT = 14, 6, 12, 8, 8
 HELD = (4, 2)
