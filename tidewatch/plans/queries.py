@@ -540,7 +540,7 @@ timeline reservoir_sample hour_weighted_sample semi_anti_sets infer_block strate
 #: Queries whose bitmaps, nulls or hours are those of a week: they run over every week as <name>_weeks, with a column week.
 BY_WEEK = """profile_basic activity_bitmap profile_fano runs_test block_campaigns residue_convergence landscape signature_top_values landscape_grouping_sets hourly_active kth_onset onset_bursts
 day_presence_drift port_drift_cv pair_coactivity rotation_null_p peer_pool_counts peer_fallback_tiers population_null_p campaign_decisions as_of_list facet_counts size_ccdf sliding_windows
-membership_joins shard_filter hdbscan_modes country_peer_tiers country_fallback staged_rotation_p campaign_decisions_staged rate_intervals""".split()
+membership_joins shard_filter country_peer_tiers country_fallback staged_rotation_p campaign_decisions_staged rate_intervals""".split()
 FIRST_WEEK = " WHERE floor(epoch(e.ts) / 3600) - 473352 BETWEEN 0 AND 167"
 
 
