@@ -23,6 +23,15 @@ def rotate_days(words: Column, by: Column) -> Column:
     return F.concat(F.slice(words, n - s + 1, s), F.slice(words, F.lit(1), n - s))
 
 
+def rotate_hours(words: Column, by: Column) -> Column:
+    """The words turned by hours: whole days first, then bits carried from a day to the next."""
+    by = F.pmod(by, F.size(words) * 24).cast("int")
+    days, r = rotate_days(words, F.floor(by / 24)), F.pmod(by, F.lit(24)).cast("int")
+    before = rotate_days(words, F.floor(by / 24) + 1)
+    up = lambda w: F.call_function("shiftleft", w, r).bitwiseAND(F.lit((1 << 24) - 1))
+    return F.zip_with(days, before, lambda w, v: up(w).bitwiseOR(F.call_function("shiftright", v, F.lit(24) - r)).cast("int"))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Shared active hours over all active hours; 0 where neither was active."""
     common = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda n, x: n + x)

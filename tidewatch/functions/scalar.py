@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: TCP windows that are told apart; others are x.
-KNOWN_WINDOWS = (1024, 1025, 2048, 4096, 5840, 8192, 14600, 16384, 29200, 32120, 42340, 64240, 65392, 65495, 65535)
 M31 = 2147483647
 
 
@@ -55,10 +53,10 @@ def share(a: Column, test) -> Column:
 
 
 def ipid_class(a: Column) -> Column:
-    """How the IP-ids of a source's samples, in time order, are made."""
+    """SC9: how the IP-ids of a source's samples, in time order, are made. One sample that is neither 54321 nor 0 is ip1; na is for none."""
     step = F.transform(deltas(a), lambda d: F.pmod(d, F.lit(65536)))
     return (
-        F.when(F.size(a) < 2, "na").when(F.forall(a, lambda x: x == 54321), "ip54321").when(F.forall(a, lambda x: x == 0), "ip0").when(F.forall(a, lambda x: x == 1), "ip1")
+        F.when(F.size(a) < 1, "na").when(F.forall(a, lambda x: x == 54321), "ip54321").when(F.forall(a, lambda x: x == 0), "ip0").when(F.size(a) < 2, "ip1")
         .when(F.size(F.array_distinct(a)) == 1, "ipconst").when(share(step, lambda d: (d >= 1) & (d <= 2048)) >= 0.8, "ipinc").otherwise("iprand")
     )
 
@@ -94,6 +92,17 @@ def draw(x: Column, n: Column | int) -> Column:
     return F.pmod(x, F.lit(n) if isinstance(n, int) else n)
 
 
+def let(x: Column, f) -> Column:  # noqa: ANN001
+    """f of x, x evaluated once: for values that an expression uses several times."""
+    return F.get(F.transform(F.array(x), f), 0)
+
+
+def bound_draw(x: Column, n: Column | int) -> Column:
+    """draw() for an x that is itself a long expression: the plan grows by a constant, not by its copies."""
+    step = lambda v: F.pmod(v * v + v * 48271 + 12345, F.lit(M31))
+    return F.pmod(let(let(F.pmod(x, F.lit(M31)), step), step), F.lit(n) if isinstance(n, int) else n)
+
+
 def draw_sql(x: str, n: str) -> str:
     for _ in range(2):
         x = f"(({x}) % {M31})"
@@ -102,11 +111,11 @@ def draw_sql(x: str, n: str) -> str:
 
 
 def payload_class(hexed: Column, port: Column) -> Column:
-    """What the first payload bytes, in hexadecimal, look like; the first test that holds decides."""
+    """SC21: what the first payload bytes, in hexadecimal, look like; the first test that holds decides. 64 31 3a is "d1:", 64 32 3a is "d2:"."""
     x = F.lower(F.coalesce(hexed, F.lit("")))
     b = F.when(x.rlike("^[0-9a-f]*$"), F.substring(x, F.lit(1), (F.length(x) / 2).cast("int") * 2)).otherwise("")
     return (
-        F.when(port == 53, "dns").when(x == "", "empty").when(b.rlike("^6[4][3][12]3a"), "bittorrent-dht").when(b.rlike("^[0-4]1(00|01|02)"), "utp").when(b.rlike("^e[45]"), "kad")
+        F.when(port == 53, "dns").when(x == "", "empty").when(b.rlike("^643[12]3a"), "bittorrent-dht").when(b.rlike("^[0-4]1(00|01|02)"), "utp").when(b.rlike("^e[45]"), "kad")
         .when(F.substring(b, 9, 8) == "2112a442", "stun").when(b.rlike("^(4f505449|52454749|494e5649|5349502f)"), "sip").when(b.startswith("4d2d5345"), "ssdp")
         .when(b.rlike("^([2-6][0-9a-f]|7[0-9a-e]){4,}$"), "ascii-other").otherwise("binary-other")
     )

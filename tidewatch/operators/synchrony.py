@@ -42,14 +42,20 @@ def verdict(draws: DataFrame, obs: DataFrame, name: str) -> DataFrame:
     return g.select("camp", f"p_{name}", F.when(F.col("sd") < 1e-9, 0.0).otherwise((F.col("coact") - F.col("mu")) / F.col("sd")).alias(f"z_{name}"))
 
 
-def rotation_null(pairs: DataFrame, p: DataFrame, obs: DataFrame, b: int, days: int, seed: int) -> DataFrame:
-    """Each member's days turned by a random number of whole days."""
+def rotation_null(pairs: DataFrame, p: DataFrame, obs: DataFrame, b: int, days: int, seed: int, unit: int | None = None) -> DataFrame:
+    """ST6: each member's hours turned by a random number of units (whole days in windows of two days and more, hours in shorter ones).
+
+    Words are joined to the pairs first; draws multiply rows only inside the
+    expression, after the last shuffle of words, and meet again in a partial average.
+    """
+    unit = unit or (24 if days >= 2 else 1)
     w = p.select("src", "words")
-    off = lambda s: scalar.draw(F.col(s) * 7919 + F.col("b").cast("bigint") * 104729 + seed, days)
-    x = pairs.select("camp", "a", F.col("b").alias("c"), F.explode(F.sequence(F.lit(1), F.lit(b))).alias("b"))
+    x = pairs.select("camp", "a", F.col("b").alias("c"))
     x = x.join(w.select(F.col("src").alias("a"), F.col("words").alias("wa")), "a").join(w.select(F.col("src").alias("c"), F.col("words").alias("wc")), "c")
-    t = bitmap.jaccard(bitmap.rotate_days(F.col("wa"), off("a")), bitmap.rotate_days(F.col("wc"), off("c")))
-    return verdict(x.groupBy("camp", "b").agg(F.avg(t).alias("t")), obs, "rot")
+    x = x.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(b))))
+    off = lambda s: scalar.draw(F.col(s) * 7919 + F.col("b").cast("bigint") * 104729 + seed, max(2, days * 24 // unit))
+    turn = lambda w, s: bitmap.rotate_days(F.col(w), off(s)) if unit == 24 else bitmap.rotate_hours(F.col(w), off(s) * unit)
+    return verdict(x.groupBy("camp", "b").agg(F.avg(bitmap.jaccard(turn("wa", "a"), turn("wc", "c"))).alias("t")), obs, "rot")
 
 
 def peer_counts(p: DataFrame, members: DataFrame, ratio: float) -> DataFrame:
@@ -61,46 +67,107 @@ def peer_counts(p: DataFrame, members: DataFrame, ratio: float) -> DataFrame:
     return out.select("camp", "port", "m", "peers", (F.col("peers") >= F.col("m") * ratio).alias("testable"))
 
 
-def peer_pools(p: DataFrame, members: DataFrame, min_pool: int, country: bool = False) -> DataFrame:
-    """(camp, bin, tier, peer, r, n): for each activity bin of a campaign's members the peers of the first tier that has enough.
+#: Slots that sources of a stratum are numbered in, so that numbering is spread over tasks.
+SLOTS = 64
+#: Draws of a peer at most, as members of the campaign itself are drawn anew.
+TRIES = 9
+
+
+def numbered(p: DataFrame, members: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, r, peer, peer_camp): the sources of each stratum numbered from 0 on by (src mod SLOTS, src). A stratum's slots are numbered apart and shifted by the counts of the slots before."""
+    q = p.join(members.select("src", F.col("camp").alias("peer_camp")), "src", "left").withColumn("slot", F.pmod("src", F.lit(SLOTS)))
+    n = q.groupBy(*by, "slot").agg(F.count("*").alias("n"))
+    before = n.withColumn("before", F.sum("n").over(W.partitionBy(*by).orderBy("slot").rowsBetween(W.unboundedPreceding, -1))).select(*by, "slot", F.coalesce("before", F.lit(0)).alias("before"))
+    q = q.withColumn("i", F.row_number().over(W.partitionBy(*by, "slot").orderBy("src")) - 1).join(before, [*by, "slot"])
+    return q.select(*by, (F.col("i") + F.col("before")).cast("bigint").alias("r"), F.col("src").alias("peer"), "peer_camp")
+
+
+def _per_bin(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """(*by, name): how many rows of each activity bin, as an array."""
+    return rows.groupBy(*by).agg(F.array(*[F.count_if(F.col("bin") == k) for k in range(BINS)]).alias(name))
 
-    Tiers: the same bin, one less, one more, those three, any on the port (needs no minimum).
-    With ``country`` there is a pool for each (camp, cc, bin), and before those come four
-    tiers within the country: the same bin (-3), one less (-2), one more (-1), any bin (0).
+
+BINS = 7
+
+
+def peer_tiers(p: DataFrame, members: DataFrame, min_pool: int, country: bool = False) -> DataFrame:
+    """(camp, [cc,] bin, port, tier, n, counts): for each activity bin of a campaign's members the first tier that has enough peers, from counts alone (JN11, JN12).
+
+    Tiers: the same bin (1), one less (2), one more (3), those three (4), any on the
+    port (5; needs no minimum). With ``country`` there is a row for each (camp, cc,
+    bin), and before those come four tiers within the country: the same bin (-3),
+    one less (-2), one more (-1), any bin (0). n: peers that are not members;
+    counts: sources of each bin that a draw takes from, members included.
     """
     own = ["cc"] if country else []
-    keys = ["camp", *own, "bin"]
-    q = p.select("src", "top1", "cc", scalar.activity_bin(F.col("nact")).alias("bin")) if country else p.select("src", "top1", scalar.activity_bin(F.col("nact")).alias("bin"))
-    port = members.join(q, "src").groupBy("camp").agg(F.expr("mode(top1, true)").alias("port"))
-    mine = members.join(q, "src").select(*keys).distinct().join(port, "camp")
-    other = q.select(F.col("top1").alias("port"), F.col("src").alias("peer"), F.col("bin").alias("pb"), *[F.col("cc").alias("pc")] * country)
-    cand = mine.join(other, "port").join(members.select("camp", F.col("src").alias("peer")), ["camp", "peer"], "left_anti")
-    d = F.col("pb") - F.col("bin")
-    near = [F.when(F.col("pc").eqNullSafe(F.col("cc")) & on, t) for t, on in ((-3, d == 0), (-2, d == -1), (-1, d == 1), (0, F.lit(True)))] if country else []
-    tiers = F.array_compact(F.array(*near, F.when(d == 0, 1), F.when(d == -1, 2), F.when(d == 1, 3), F.when(F.abs(d) <= 1, 4), F.lit(5)))
-    cand = cand.select(*keys, "peer", F.explode(tiers).alias("tier"))
-    n = cand.groupBy(*keys, "tier").agg(F.count("*").alias("n")).filter((F.col("n") >= min_pool) | (F.col("tier") == 5))
-    best = n.groupBy(*keys).agg(F.min(F.struct("tier", "n")).alias("x")).select(*keys, "x.*")
-    out = cand.join(best, [*keys, "tier"])
-    return out.withColumn("r", (F.row_number().over(W.partitionBy(*keys).orderBy("peer")) - 1).cast("bigint"))
-
-
-def country_fallback(p: DataFrame, members: DataFrame, pools: DataFrame, tested: DataFrame) -> DataFrame:
-    """(camp, members, fallback, majority): members of the campaigns in ``tested`` whose country has too few peers on the port, and whether most of a campaign's are such."""
-    got = pools.filter("tier <= 0").select("camp", "cc", "bin").distinct().withColumn("own", F.lit(True))
+    q = p.select("src", F.col("top1").alias("port"), *own, scalar.activity_bin(F.col("nact")).alias("bin"))
+    m = members.select("src", "camp").join(q, "src")
+    port = m.groupBy("camp").agg(F.expr("mode(port, true)").alias("port"))
+    m = m.withColumnRenamed("port", "at").join(port, "camp").withColumn("same", F.col("at") == F.col("port"))
+    strata = m.select("camp", *own, "bin", "port").distinct()
+    mine = m.filter("same")
+    out = strata.join(_per_bin(q, ["port"], "all"), "port").join(_per_bin(mine, ["camp"], "own"), "camp", "left")
+    none = F.array(*[F.lit(0).cast("bigint")] * BINS)
+    if country:
+        out = out.join(_per_bin(q, ["port", "cc"], "all_cc"), ["port", "cc"], "left").join(_per_bin(mine, ["camp", "cc"], "own_cc"), ["camp", "cc"], "left")
+    i = F.sequence(F.lit(0), F.lit(BINS - 1))
+    found = []
+    for base, first in ((("all_cc", "own_cc"), -3), (("all", "own"), 1)) if country else ((("all", "own"), 1),):
+        every, own_ = (F.coalesce(x, none) for x in base)
+        for tier, test in ((first, lambda k: k == F.col("bin")), (first + 1, lambda k: k == F.col("bin") - 1), (first + 2, lambda k: k == F.col("bin") + 1), *([] if first < 0 else [(4, lambda k: F.abs(k - F.col("bin")) <= 1)]), (0 if first < 0 else 5, lambda k: k >= 0)):
+            only = lambda x, test=test: F.zip_with(x, i, lambda n, k: F.when(test(k), n).otherwise(F.lit(0).cast("bigint")))
+            counts = only(every)
+            free = F.aggregate(only(F.zip_with(every, own_, lambda x, y: x - y)), F.lit(0).cast("bigint"), lambda a, x: a + x)
+            found.append(F.struct(F.lit(tier).alias("tier"), free.alias("n"), counts.alias("counts")))
+    pick = F.filter(F.array(*found), lambda x: (x["n"] >= min_pool) | (x["tier"] == 5))[0]
+    return out.select("camp", *own, "bin", "port", pick.alias("x")).select("camp", *own, "bin", "port", "x.*")
+
+
+def country_fallback(p: DataFrame, members: DataFrame, tiers: DataFrame, tested: DataFrame) -> DataFrame:
+    """(camp, members, fallback, majority): members of the campaigns in ``tested`` whose country has too few peers on the port, and whether most of a campaign's are such (ST21)."""
+    got = tiers.filter("tier <= 0").select("camp", "cc", "bin").withColumn("own", F.lit(True))
     m = members.join(tested.select("camp"), "camp", "left_semi").join(p.select("src", "cc", scalar.activity_bin(F.col("nact")).alias("bin")), "src").join(got, ["camp", "cc", "bin"], "left")
     g = m.groupBy("camp").agg(F.count("*").alias("members"), F.count_if(F.col("own").isNull()).alias("fallback"))
     return g.withColumn("majority", F.col("fallback") * 2 > F.col("members"))
 
 
-def population_null(pairs: DataFrame, p: DataFrame, pools: DataFrame, obs: DataFrame, b: int, seed: int) -> DataFrame:
-    """Each member replaced by a random peer of its pool (of its country's, where pools have a country)."""
-    keys = ["camp", *[k for k in ("cc", "bin") if k in pools.columns]]
-    q = p.select("src", "words", *[k for k in keys if k == "cc"], scalar.activity_bin(F.col("nact")).alias("bin"))
-    size = pools.groupBy(*keys).agg(F.max("n").alias("n"))
-    used = pairs.select("camp", F.col("a").alias("src")).union(pairs.select("camp", "b")).distinct().join(q.select("src", *keys[1:]), "src").join(size, keys)
-    used = used.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(b)))).withColumn("r", scalar.draw(F.col("src") * 7919 + F.col("b").cast("bigint") * 104729 + seed + 1, F.col("n")))
-    got = used.join(pools.select(*keys, "r", "peer"), [*keys, "r"]).join(q.select(F.col("src").alias("peer"), "words"), "peer").select("camp", "src", "b", "words")
+def drawn_peers(used: DataFrame, p: DataFrame, members: DataFrame, tiers: DataFrame, b: int, seed: int) -> DataFrame:
+    """(camp, src, b, peer) for used(camp, src, [cc,] bin): for each draw a random source of the stratum's tier, drawn anew while it is a member of the campaign, TRIES times at most (the last stands).
+
+    A drawn number is a bin of the tier and a place in it; places are looked up in
+    numbered(), so no row per candidate exists.
+    """
+    own = ["cc"] if "cc" in tiers.columns else []
+    q = p.select("src", F.col("top1").alias("port"), *own, scalar.activity_bin(F.col("nact")).alias("at"))
+    at = tiers.filter(F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x) > 0)
+    u = used.join(at, ["camp", *own, "bin"]).withColumn("total", F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x))
+    u = u.select("camp", "src", "port", *own, "tier", "counts", "total", F.explode(F.sequence(F.lit(1), F.lit(b))).alias("b"))
+    lists = {False: numbered(q, members, ["port", "at"])}
+    if own:
+        lists[True] = numbered(q, members, ["port", "cc", "at"])
+
+    def looked_up(rows: DataFrame) -> DataFrame:
+        g = scalar.draw(F.col("src") * 7919 + F.col("b").cast("bigint") * 104729 + F.col("try") * 50_000_017 + seed + 1, F.col("total"))
+        zero = F.lit(0).cast("bigint")
+        step = F.aggregate("counts", F.struct(F.col("g").alias("left"), zero.alias("k"), F.lit(-1).cast("bigint").alias("at")), lambda s, n: F.when(s["at"] >= 0, s).when(s["left"] < n, F.struct(s["left"].alias("left"), s["k"].alias("k"), s["k"].alias("at"))).otherwise(F.struct((s["left"] - n).alias("left"), (s["k"] + 1).alias("k"), s["at"].alias("at"))))
+        rows = rows.withColumn("g", g).withColumn("s", step).select("*", F.col("s.left").alias("r"), F.col("s.at").cast("int").alias("at")).drop("g", "s", "counts")
+        out = rows.filter("tier > 0").join(lists[False], ["port", "at", "r"])
+        if own:
+            out = out.drop("cc").unionByName(rows.filter("tier <= 0").join(lists[True], ["port", "cc", "at", "r"]).drop("cc"))
+        return out.select("camp", "src", "b", "try", "peer", F.coalesce(F.col("peer_camp") == F.col("camp"), F.lit(False)).alias("member"))
+
+    one = stage(looked_up(u.withColumn("try", F.lit(0).cast("bigint"))), "peers-first")
+    again = u.join(one.filter("member").select("camp", "src", "b"), ["camp", "src", "b"], "left_semi").withColumn("try", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(TRIES - 1).cast("bigint"))))
+    more = looked_up(again).groupBy("camp", "src", "b").agg(F.min_by("peer", F.struct("member", F.when(F.col("member"), -F.col("try")).otherwise(F.col("try")))).alias("peer"))
+    return one.filter("not member").select("camp", "src", "b", "peer").unionByName(more)
+
+
+def population_null(pairs: DataFrame, p: DataFrame, members: DataFrame, tiers: DataFrame, obs: DataFrame, b: int, seed: int) -> DataFrame:
+    """ST7: each member replaced by a random peer of its stratum (of its country's, where tiers have a country)."""
+    own = [k for k in ("cc",) if k in tiers.columns]
+    q = p.select("src", "words", *own, scalar.activity_bin(F.col("nact")).alias("bin"))
+    used = pairs.select("camp", F.col("a").alias("src")).union(pairs.select("camp", "b")).distinct().join(q.select("src", *own, "bin"), "src")
+    got = drawn_peers(used, p, members, tiers, b, seed).join(q.select(F.col("src").alias("peer"), "words"), "peer").select("camp", "src", "b", "words")
     x = pairs.select("camp", "a", F.col("b").alias("c"))
     j = x.join(got.select("camp", F.col("src").alias("a"), "b", F.col("words").alias("wa")), ["camp", "a"]).join(got.select("camp", F.col("src").alias("c"), "b", F.col("words").alias("wc")), ["camp", "c", "b"])
     return verdict(j.groupBy("camp", "b").agg(F.avg(bitmap.jaccard(F.col("wa"), F.col("wc"))).alias("t")), obs, "pop")
@@ -135,7 +202,7 @@ def decide(p: DataFrame, members: DataFrame, cfg: Config, days: int = 7) -> Data
     obs = stage(coactivity(pairs, p), "coactivity")
     test = peer_counts(p, members, cfg.peer_ratio)
     rot = stage(rotation_null(pairs, p, obs, cfg.draws, days, cfg.seed), "rotation")
-    pop = stage(population_null(pairs, p, stage(peer_pools(p, members, cfg.min_pool), "pools"), obs, cfg.draws, cfg.seed), "population")
+    pop = stage(population_null(pairs, p, members, stage(peer_tiers(p, members, cfg.min_pool), "tiers"), obs, cfg.draws, cfg.seed), "population")
     t = test.join(obs, "camp", "left").join(rot, "camp", "left").join(pop, "camp", "left")
     ok = F.col("testable") & F.col("p_pop").isNotNull()
     t = t.withColumn("p_pop", F.when(ok, F.col("p_pop")).otherwise(1.0)).withColumn("z_pop", F.when(ok, F.col("z_pop")).otherwise(0.0)).withColumn("p", F.greatest("p_rot", "p_pop"))
@@ -155,11 +222,11 @@ def decide_staged(p: DataFrame, members: DataFrame, residue: DataFrame, cfg: Con
     pairs = stage(member_pairs(tested, cfg.pairs, cfg.seed).repartition(slices), "pairs")
     obs = stage(coactivity(pairs, p), "coactivity")
     test = stage(peer_counts(p, tested, cfg.peer_ratio), "counts")
-    pools = stage(peer_pools(p, tested, cfg.min_pool, country=True), "pools")
+    tiers = stage(peer_tiers(p, tested, cfg.min_pool, country=True), "tiers")
     draws, screens = [cfg.draws, cfg.draws2, cfg.draws3], [cfg.screen2, cfg.screen3]
     rot = refine(lambda x, o, b, seed: rotation_null(x, p, o, b, days, seed), pairs, obs, "rot", draws, screens, cfg.seed)
     fit = test.filter("testable").select("camp")
-    pop = refine(lambda x, o, b, seed: population_null(x, p, pools, o, b, seed), pairs.join(fit, "camp", "left_semi"), obs.join(fit, "camp", "left_semi"), "pop", draws, screens, cfg.seed)
+    pop = refine(lambda x, o, b, seed: population_null(x, p, tested, tiers, o, b, seed), pairs.join(fit, "camp", "left_semi"), obs.join(fit, "camp", "left_semi"), "pop", draws, screens, cfg.seed)
     t = test.join(obs, "camp", "left").join(rot, "camp", "left").join(pop, "camp", "left").withColumn("residue", F.lit(False))
     t = t.fillna(1.0, ["p_rot", "p_pop"]).fillna(0.0, ["coact", "z_rot", "z_pop"]).withColumn("p", F.greatest("p_rot", "p_pop"))
     out = step_up(t, "p", cfg.q).withColumnRenamed("passed", "orchestrated").select("camp", "residue", "testable", "coact", "p_rot", "z_rot", "p_pop", "z_pop", "p", "orchestrated")

@@ -193,17 +193,35 @@ ROT = f"""{PAIRS}, rt AS (SELECT camp, k, avg({JAC('wa', 'wb')}) AS t FROM (SELE
 BIN = "CASE WHEN nact <= 1 THEN 0 WHEN nact <= 3 THEN 1 WHEN nact <= 7 THEN 2 WHEN nact <= 15 THEN 3 WHEN nact <= 31 THEN 4 WHEN nact <= 63 THEN 5 ELSE 6 END"
 PEERS = f"""tp AS (SELECT camp, port, m FROM (SELECT camp, top1 AS port, row_number() OVER (PARTITION BY camp ORDER BY count(*) DESC, top1) AS r, sum(count(*)) OVER (PARTITION BY camp) AS m FROM members JOIN prof USING (src) GROUP BY camp, top1) WHERE r = 1),
 pc AS (SELECT tp.camp, port, m, count(*) AS peers FROM tp JOIN prof ON top1 = port WHERE NOT EXISTS (SELECT 1 FROM members WHERE members.camp = tp.camp AND members.src = prof.src) GROUP BY ALL)"""
-POOLS = f"""{PEERS}, pb AS (SELECT src, top1, words, {BIN} AS bin FROM prof), mine AS (SELECT DISTINCT members.camp, bin, port FROM members JOIN pb USING (src) JOIN tp USING (camp)),
-cand AS (SELECT mine.camp, mine.bin, pb.src AS peer, pb.bin - mine.bin AS dd FROM mine JOIN pb ON top1 = port WHERE NOT EXISTS (SELECT 1 FROM members WHERE members.camp = mine.camp AND members.src = pb.src)),
-tiers AS (SELECT camp, bin, peer, unnest(list_filter([CASE WHEN dd = 0 THEN 1 END, CASE WHEN dd = -1 THEN 2 END, CASE WHEN dd = 1 THEN 3 END, CASE WHEN abs(dd) <= 1 THEN 4 END, 5], lambda x: x IS NOT NULL)) AS tier FROM cand),
-pick AS (SELECT camp, bin, min(tier) AS tier FROM (SELECT camp, bin, tier, count(*) AS n FROM tiers GROUP BY ALL) WHERE n >= {CFG.min_pool} OR tier = 5 GROUP BY camp, bin),
-pools AS (SELECT camp, bin, tier, peer, row_number() OVER (PARTITION BY camp, bin ORDER BY peer) - 1 AS r, count(*) OVER (PARTITION BY camp, bin) AS n FROM tiers JOIN pick USING (camp, bin, tier))"""
-DRAWN = scalar.draw_sql(f"src * 7919 + k * 104729 + {CFG.seed} + 1", "n")
-POP = f"""{POOLS}, used AS (SELECT camp, src, k, bin, {DRAWN} AS r FROM (SELECT DISTINCT camp, a AS src FROM pairs UNION SELECT DISTINCT camp, b FROM pairs) JOIN pb USING (src) JOIN (SELECT DISTINCT camp, bin, n FROM pools) USING (camp, bin) CROSS JOIN (SELECT unnest(range(1, {CFG.draws} + 1)) AS k)),
-got AS (SELECT used.camp, used.src, k, pb.words FROM used JOIN pools ON pools.camp = used.camp AND pools.bin = used.bin AND pools.r = used.r JOIN pb ON pb.src = peer),
+#: Peers of a stratum: its first tier with enough of them, then tries of a drawn place among the tier's sources by (bin, src mod 64, src).
+PB = f"pb AS (SELECT src, top1, cc, words, {BIN} AS bin FROM prof), pm AS (SELECT pb.*, members.camp AS pcamp FROM pb LEFT JOIN members USING (src))"
+
+
+def tiers_sql(least: int, country: bool = False) -> str:
+    own = "cc, " if country else ""
+    near = [f"CASE WHEN dd = {d} THEN {k} END" for d, k in ((0, 1), (-1, 2), (1, 3))] + ["CASE WHEN abs(dd) <= 1 THEN 4 END", "5"]
+    if country:
+        near = [f"CASE WHEN same AND dd = {d} THEN {k} END" for d, k in ((0, -3), (-1, -2), (1, -1))] + ["CASE WHEN same THEN 0 END"] + near
+    return f"""{PEERS}, {PB}, mine AS (SELECT DISTINCT members.camp, {own}bin, port FROM members JOIN pb USING (src) JOIN tp USING (camp)),
+cand AS (SELECT mine.camp, {'mine.cc, ' if country else ''}mine.bin, pm.src AS peer, pm.bin AS pbin, coalesce(pm.pcamp = mine.camp, false) AS own, pm.bin - mine.bin AS dd{', pm.cc = mine.cc AS same' if country else ''} FROM mine JOIN pm ON pm.top1 = port),
+tiers AS (SELECT camp, {own}bin, peer, pbin, own, unnest(list_filter([{', '.join(near)}], lambda x: x IS NOT NULL)) AS tier FROM cand),
+pick AS (SELECT camp, {own}bin, min(tier) AS tier, arg_min(n, tier) AS n FROM (SELECT camp, {own}bin, tier, count(*) FILTER (WHERE NOT own) AS n FROM tiers GROUP BY ALL) WHERE n >= {least} OR tier = 5 GROUP BY camp, {own}bin),
+pools AS (SELECT camp, {own}bin, peer, own, row_number() OVER (PARTITION BY camp, {own}bin ORDER BY pbin, peer % 64, peer) - 1 AS r, count(*) OVER (PARTITION BY camp, {own}bin) AS total FROM tiers SEMI JOIN pick USING (camp, {own}bin, tier))"""
+
+
+def pop_sql(least: int, draws: int, seed: int, country: bool = False) -> str:
+    own = "cc, " if country else ""
+    place = scalar.draw_sql(f"src * 7919 + k * 104729 + try * 50000017 + {seed} + 1", "total")
+    return f"""used AS (SELECT camp, src, {own}bin, k, try, {place} AS r FROM (SELECT DISTINCT camp, a AS src FROM pairs UNION SELECT DISTINCT camp, b FROM pairs) JOIN pb USING (src) JOIN (SELECT DISTINCT camp, {own}bin, total FROM pools) USING (camp, {own}bin) CROSS JOIN (SELECT unnest(range(1, {draws} + 1)) AS k) CROSS JOIN (SELECT unnest(range(0, 9)) AS try)),
+won AS (SELECT camp, src, k, arg_min(peer, CASE WHEN own THEN 100 - try ELSE try END) AS peer FROM used JOIN pools USING (camp, {own}bin, r) GROUP BY ALL),
+got AS (SELECT won.camp, won.src, k, pb.words FROM won JOIN pb ON pb.src = peer),
 pt AS (SELECT pairs.camp, x.k, avg({JAC('x.words', 'y.words')}) AS t FROM pairs JOIN got x ON x.camp = pairs.camp AND x.src = a JOIN got y ON y.camp = pairs.camp AND y.src = b AND y.k = x.k GROUP BY ALL), pop AS ({VERDICT('pop', 'pt')})"""
 
 
+POOLS = tiers_sql(CFG.min_pool)
+POP = f"{POOLS}, {pop_sql(CFG.min_pool, CFG.draws, CFG.seed)}"
+
+
 @query("pair_coactivity", f"WITH {PAIRS} SELECT CAST(camp AS BIGINT) AS camp, n_pairs, round(coact, 6) AS coact FROM obs")
 def pair_coactivity(spark, d):
     p, m = blocked(spark, d)
@@ -223,17 +241,19 @@ def peer_pool_counts(spark, d):
     return rounded(synchrony.peer_counts(*blocked(spark, d), CFG.peer_ratio))
 
 
-@query("peer_fallback_tiers", f"WITH {BLOCKS}, {POOLS} SELECT CAST(camp AS BIGINT) AS camp, CAST(bin AS BIGINT) AS bin, CAST(tier AS BIGINT) AS tier, count(*) AS n, min(peer) AS first_peer FROM pools GROUP BY ALL")
+@query("peer_fallback_tiers", f"WITH {BLOCKS}, {POOLS} SELECT CAST(camp AS BIGINT) AS camp, CAST(bin AS BIGINT) AS bin, CAST(tier AS BIGINT) AS tier, n, any_value(total) AS total FROM pick JOIN pools USING (camp, bin) GROUP BY ALL")
 def peer_fallback_tiers(spark, d):
-    pools = synchrony.peer_pools(*blocked(spark, d), CFG.min_pool)
-    return rounded(pools.groupBy("camp", "bin", "tier").agg(F.count("*").alias("n"), F.min("peer").alias("first_peer")))
+    """JN11."""
+    t = synchrony.peer_tiers(*blocked(spark, d), CFG.min_pool)
+    return rounded(t.select("camp", "bin", "tier", "n", F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total")))
 
 
 @query("population_null_p", f"WITH {PAIRS}, {POP} SELECT CAST(camp AS BIGINT) AS camp, round(p_pop, 6) AS p_pop, round(z_pop, 4) AS z_pop FROM pop")
 def population_null_p(spark, d):
+    """ST7, ST8, ST9."""
     p, m = blocked(spark, d)
     pairs = stage(synchrony.member_pairs(m, CFG.pairs, CFG.seed), "pairs")
-    r = synchrony.population_null(pairs, p, stage(synchrony.peer_pools(p, m, CFG.min_pool), "pools"), synchrony.coactivity(pairs, p), CFG.draws, CFG.seed)
+    r = synchrony.population_null(pairs, p, m, stage(synchrony.peer_tiers(p, m, CFG.min_pool), "tiers"), synchrony.coactivity(pairs, p), CFG.draws, CFG.seed)
     return rounded(r.withColumn("z_pop", F.round("z_pop", 4)))
 
 
@@ -447,27 +467,25 @@ def entry(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- country tiers, staged tests
-CC_POOLS = f"""{PEERS}, pb AS (SELECT src, top1, cc, {BIN} AS bin FROM prof), mine AS (SELECT DISTINCT members.camp, cc, bin, port FROM members JOIN pb USING (src) JOIN tp USING (camp)),
-cand AS (SELECT mine.camp, mine.cc, mine.bin, pb.src AS peer, pb.bin - mine.bin AS dd, pb.cc = mine.cc AS same FROM mine JOIN pb ON top1 = port WHERE NOT EXISTS (SELECT 1 FROM members WHERE members.camp = mine.camp AND members.src = pb.src)),
-tiers AS (SELECT camp, cc, bin, peer, unnest(list_filter([CASE WHEN same AND dd = 0 THEN -3 END, CASE WHEN same AND dd = -1 THEN -2 END, CASE WHEN same AND dd = 1 THEN -1 END, CASE WHEN same THEN 0 END,
- CASE WHEN dd = 0 THEN 1 END, CASE WHEN dd = -1 THEN 2 END, CASE WHEN dd = 1 THEN 3 END, CASE WHEN abs(dd) <= 1 THEN 4 END, 5], lambda x: x IS NOT NULL)) AS tier FROM cand),
-pick AS (SELECT camp, cc, bin, min(tier) AS tier FROM (SELECT camp, cc, bin, tier, count(*) AS n FROM tiers GROUP BY ALL) WHERE n >= {{least}} OR tier = 5 GROUP BY camp, cc, bin)"""
 #: The test tables have few sources of one country on a port, so its tiers need fewer.
 CC_LEAST = 2
+CC_POOLS = tiers_sql(CC_LEAST, country=True)
 
 
-@query("country_peer_tiers", f"WITH {BLOCKS}, {CC_POOLS.format(least=CC_LEAST)} SELECT CAST(camp AS BIGINT) AS camp, cc, CAST(bin AS BIGINT) AS bin, CAST(tier AS BIGINT) AS tier, count(*) AS n, min(peer) AS first_peer FROM tiers JOIN pick USING (camp, cc, bin, tier) GROUP BY ALL")
+@query("country_peer_tiers", f"WITH {BLOCKS}, {CC_POOLS} SELECT CAST(camp AS BIGINT) AS camp, cc, CAST(bin AS BIGINT) AS bin, CAST(tier AS BIGINT) AS tier, n, any_value(total) AS total FROM pick JOIN pools USING (camp, cc, bin) GROUP BY ALL")
 def country_peer_tiers(spark, d):
-    pools = synchrony.peer_pools(*blocked(spark, d), CC_LEAST, country=True)
-    return rounded(pools.groupBy("camp", "cc", "bin", "tier").agg(F.count("*").alias("n"), F.min("peer").alias("first_peer")))
+    """JN12."""
+    t = synchrony.peer_tiers(*blocked(spark, d), CC_LEAST, country=True)
+    return rounded(t.select("camp", "cc", "bin", "tier", "n", F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total")))
 
 
-@query("country_fallback", f"""WITH {BLOCKS}, {CC_POOLS.format(least=CC_LEAST)}, g AS (SELECT camp, count(*) AS members, count(*) FILTER (WHERE coalesce(tier, 5) > 0) AS fallback FROM members JOIN pb USING (src) JOIN pc USING (camp) LEFT JOIN pick USING (camp, cc, bin) WHERE peers >= pc.m GROUP BY camp)
+@query("country_fallback", f"""WITH {BLOCKS}, {CC_POOLS}, g AS (SELECT camp, count(*) AS members, count(*) FILTER (WHERE coalesce(tier, 5) > 0) AS fallback FROM members JOIN pb USING (src) JOIN pc USING (camp) LEFT JOIN pick USING (camp, cc, bin) WHERE peers >= pc.m GROUP BY camp)
  SELECT CAST(camp AS BIGINT) AS camp, members, fallback, fallback * 2 > members AS majority FROM g""")
 def country_fallback(spark, d):
+    """ST21."""
     p, m = blocked(spark, d)
     tested = synchrony.peer_counts(p, m, CFG.peer_ratio).filter("testable")
-    return rounded(synchrony.country_fallback(p, m, synchrony.peer_pools(p, m, CC_LEAST, country=True), tested))
+    return rounded(synchrony.country_fallback(p, m, synchrony.peer_tiers(p, m, CC_LEAST, country=True), tested))
 
 
 STEPS, SCREENS = [20, 40, 80], [0.9, 0.5]
