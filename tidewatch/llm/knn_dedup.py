@@ -33,6 +33,8 @@ from . import _common as c
 
 THRESHOLD = 0.9
 TABLES, CELL, LEAF, KEEP, ROUNDS, BLOCK = 24, 256, 64, 10, 3, 512
+#: Copies of a large component's blocks at most, so that they are compared in as many tasks.
+SALTS = 8
 AUDIT, RECALL, TRIES = 256, 0.98, 8
 
 
@@ -41,8 +43,16 @@ def unit(vectors: list[bytes], dtype: str) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def by_length(vectors: list[bytes]):
+    """(places, vectors) of each length: vectors of different lengths have no cosine and are never compared."""
+    size = np.array([len(v) for v in vectors])
+    for n in np.unique(size):
+        at = np.flatnonzero(size == n)
+        yield at, [vectors[i] for i in at]
+
+
 def valid(vectors: DataFrame) -> tuple[DataFrame, str]:
-    """(vec_id, v: bytes) of the vectors that can be compared, and their number type. The length most vectors have counts; others are linked with nothing."""
+    """(vec_id, v: bytes) of the vectors that can be compared, and their number type."""
     kind = "<f8" if "double" in vectors.schema["embedding"].dataType.simpleString() else "<f4"
     real = "double" if kind == "<f8" else "float"
 
@@ -56,29 +66,26 @@ def valid(vectors: DataFrame) -> tuple[DataFrame, str]:
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([v[a:b].tobytes() for a, b in zip(off, off[1:], strict=False)], pa.binary())], ["vec_id", "v"])
 
     e = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast(f"array<{real}>").alias("e")).filter("vec_id is not null and e is not null and size(e) > 0")
-    sizes = e.groupBy(F.size("e").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    e = e.filter(F.size("e") == (sizes[0].n if sizes else 0))
     fine = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("e", lambda x: x != 0)
     return e.filter(fine).mapInArrow(pack, "vec_id long, v binary"), kind
 
 
 def cells(vecs: DataFrame, kind: str, bits: int, tables: range) -> DataFrame:
-    """(t, cell, id) for each vector and table."""
+    """(t, dim, cell, id) for each vector and table; dim, the bytes of a vector, keeps lengths apart."""
 
     def deal(batches):
         import pyarrow as pa
 
-        planes: dict[int, np.ndarray] = {}
+        planes: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            if not len(batch):
-                continue
-            x = unit(batch.column("v").to_pylist(), kind)
-            for t in tables:
-                p = planes.setdefault(t, np.random.default_rng(1000 + t).standard_normal((x.shape[1], max(bits, 1))))
-                code = ((x @ p > 0) @ (1 << np.arange(max(bits, 1)))).astype(np.int64) if bits else np.zeros(len(x), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(code), batch.column("id")], ["t", "cell", "id"])
+            for at, same in by_length(batch.column("v").to_pylist()):
+                x, ids = unit(same, kind), batch.column("id").take(pa.array(at))
+                for t in tables:
+                    p = planes.setdefault((t, x.shape[1]), np.random.default_rng(1000 + t).standard_normal((x.shape[1], max(bits, 1))))
+                    code = ((x @ p > 0) @ (1 << np.arange(max(bits, 1)))).astype(np.int64) if bits else np.zeros(len(x), np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(np.full(len(x), len(same[0]), np.int32)), pa.array(code), ids], ["t", "dim", "cell", "id"])
 
-    return vecs.mapInArrow(deal, "t int, cell long, id long")
+    return vecs.mapInArrow(deal, "t int, dim int, cell long, id long")
 
 
 def compared(groups: DataFrame, kind: str) -> DataFrame:
@@ -127,9 +134,9 @@ def best(edges: DataFrame) -> DataFrame:
 def start(vecs: DataFrame, kind: str, n: int, tables: range) -> DataFrame:
     bits = max(0, math.ceil(math.log2(max(1, n) / LEAF)))
     at = c.cut(cells(vecs.select("id", "v"), kind, bits, tables), "cells")
-    large = at.groupBy("t", "cell").agg(F.count("*").alias("m")).filter(F.col("m") > CELL)
-    dealt = at.join(large, ["t", "cell"], "left").withColumn("part", F.when(F.col("m").isNotNull(), F.pmod(F.xxhash64("t", "id"), F.ceil(F.col("m") * 2 / CELL))).otherwise(0))
-    return compared(gathered(dealt.join(vecs, "id"), "t", "cell", "part"), kind)
+    large = at.groupBy("t", "dim", "cell").agg(F.count("*").alias("m")).filter(F.col("m") > CELL)
+    dealt = at.join(large, ["t", "dim", "cell"], "left").withColumn("part", F.when(F.col("m").isNotNull(), F.pmod(F.xxhash64("t", "id"), F.ceil(F.col("m") * 2 / CELL))).otherwise(0))
+    return compared(gathered(dealt.join(vecs, "id"), "t", "dim", "cell", "part"), kind)
 
 
 def refine(edges: DataFrame, vecs: DataFrame, kind: str) -> DataFrame:
@@ -179,8 +186,8 @@ def enlarged(vecs: DataFrame, comp: DataFrame, kind: str, threshold: float) -> D
     size = comp.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     at = at.join(size, "comp").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     blocks = c.cut(at.groupBy("comp", "part", "parts").agg(F.collect_list(F.struct("id", "v", "copies")).alias("g")), "blocks")
-    left = blocks.select("comp", "part", F.col("g.id").alias("ids"), F.col("g.v").alias("vs"))
-    right = blocks.select("comp", F.col("part").alias("other"), F.col("g.v").alias("ws"), F.col("g.copies").alias("ms"))
+    left = blocks.select("comp", "part", F.col("g.id").alias("ids"), F.col("g.v").alias("vs"), F.explode(F.sequence(F.lit(0), F.least(F.lit(SALTS), "parts") - 1)).alias("salt"))
+    right = blocks.select("comp", F.pmod("part", F.least(F.lit(SALTS), "parts")).alias("salt"), F.col("g.v").alias("ws"), F.col("g.copies").alias("ms"))
 
     def run(batches):
         import pyarrow as pa
@@ -191,7 +198,7 @@ def enlarged(vecs: DataFrame, comp: DataFrame, kind: str, threshold: float) -> D
                 hit = x @ y.T >= threshold
                 yield pa.RecordBatch.from_arrays([pa.array(m["ids"]), pa.array((hit * np.array(m["ms"], np.int64)).sum(1)), pa.array(hit.sum(1).astype(np.int64))], ["id", "links", "near"])
 
-    return left.join(right, "comp").select("ids", "vs", "ws", "ms").mapInArrow(run, "id long, links long, near long").groupBy("id").agg(F.sum("links").alias("links"), F.sum("near").alias("near"))
+    return left.join(right, ["comp", "salt"]).select("ids", "vs", "ws", "ms").mapInArrow(run, "id long, links long, near long").groupBy("id").agg(F.sum("links").alias("links"), F.sum("near").alias("near"))
 
 
 def audit(vecs: DataFrame, per: DataFrame, deep: DataFrame, kind: str, threshold: float) -> float:
@@ -208,18 +215,20 @@ def audit(vecs: DataFrame, per: DataFrame, deep: DataFrame, kind: str, threshold
     drawn = [r for k in sorted(sizes) for r in at.filter(F.col("part") == k).orderBy(F.xxhash64(F.lit(3), "id"), "id").limit(AUDIT).collect()]
     if not drawn:
         return 1.0
-    ids, x = np.array([r.id for r in drawn]), unit([r.v for r in drawn], kind)
-    held = vecs.sparkSession.sparkContext.broadcast((ids, x))
+    ids = np.array([r.id for r in drawn])
+    held = vecs.sparkSession.sparkContext.broadcast((ids, {len(same[0]): (places, unit(same, kind)) for places, same in by_length([r.v for r in drawn])}))
 
     def run(batches):
         import pyarrow as pa
 
-        ids, x = held.value
+        ids, drawn = held.value
         n = np.zeros(len(ids), np.int64)
         for batch in batches:
-            if len(batch):
-                own = np.array(batch.column("id"))
-                n += ((unit(batch.column("v").to_pylist(), kind) @ x.T >= threshold) & (own[:, None] != ids)).sum(0)
+            for at, same in by_length(batch.column("v").to_pylist()):
+                if len(same[0]) in drawn:
+                    places, x = drawn[len(same[0])]
+                    own = batch.column("id").to_numpy()[at]
+                    n[places] += ((unit(same, kind) @ x.T >= threshold) & (own[:, None] != ids[places])).sum(0)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], ["u", "n"])
 
     there = {r.u: r.n for r in vecs.select("id", "v").mapInArrow(run, "u long, n long").groupBy("u").agg(F.sum("n").alias("n")).collect()}
@@ -236,8 +245,8 @@ def audit(vecs: DataFrame, per: DataFrame, deep: DataFrame, kind: str, threshold
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vectors(vec_id, embedding) -> (vec_id, n_links, component_id, kept), one row per input row.
 
-    Vectors that are null, empty, zero, of another length than most, or hold
-    null or non-finite components have no links and are their own component.
+    Vectors that are null, empty, zero, or hold null or non-finite components have
+    no links and are their own component. Vectors of different lengths aren't linked.
     Equal vectors are linked with each other. Rows that repeat a vec_id are
     vectors of their own for n_links and one node for components. A null vec_id
     is linked with nothing and kept. An empty table gives an empty result. If
