@@ -37,6 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = got.get() if got.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidewatch-")
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/tidewatch-{spark.sparkContext.applicationId}"
@@ -77,6 +79,14 @@ def drop(df: DataFrame) -> None:
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in either case: name, with underscores before it as needed."""
+    have = {x.lower() for x in df.columns}
+    while name.lower() in have:
+        name = "_" + name
+    return name
+
+
 def worker_cache(name: str) -> dict:
     """A dict that lives as long as the Python worker, across tasks."""
     return sys.modules.setdefault("_tidewatch_worker", types.ModuleType("_tidewatch_worker")).__dict__.setdefault(name, {})
@@ -230,13 +240,25 @@ def held_out(mod: int, rest: int):
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(mod)) == rest, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, rest: int, most: int, longest: int) -> tuple[list[str], np.ndarray]:
-    """Texts and 0/1 labels of at most ``most`` documents of each label, smallest hash of doc_id first, from the rows learned from; texts of more than ``longest`` characters are not drawn."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, rest: int, most: int, longest: int, long: int = 100) -> tuple[list[str], np.ndarray]:
+    """Texts and 0/1 labels of at most ``most`` documents of each label from the rows learned from, smallest hash of doc_id first.
+
+    Those of up to ``longest`` characters are drawn first; of longer ones, whole
+    too, as many as there is room for, at most ``long`` of a label. Of rows that
+    repeat a doc_id one is drawn, the text of smallest hash.
+    """
     rows = labels.select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & ~held_out(mod, rest)).groupBy("doc_id").agg(F.max("y").alias("y"))
     order = F.xxhash64(F.lit(5), "doc_id")
-    pick = rows.filter("y = 1").orderBy(order, "doc_id").limit(most).union(rows.filter("y = 0").orderBy(order, "doc_id").limit(most))
-    got = docs.filter(F.char_length("text") <= longest).join(F.broadcast(pick), "doc_id").select("doc_id", "text", "y").collect()
-    got.sort(key=lambda r: (r.doc_id, r.text))
+    size = docs.select("doc_id", F.char_length("text").alias("n")).filter("n is not null").groupBy("doc_id").agg((F.max("n") > longest).alias("far"))
+    known, pick = rows.join(size, "doc_id"), None
+    for y in (1, 0):
+        near = known.filter((F.col("y") == y) & ~F.col("far")).orderBy(order, "doc_id").limit(most)
+        far = known.filter((F.col("y") == y) & F.col("far")).orderBy(order, "doc_id").limit(long)
+        both = near.union(far).orderBy("far", order, "doc_id").limit(most)
+        pick = both if pick is None else pick.union(both)
+    texts = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(pick.select("doc_id", "y")), "doc_id")
+    got = texts.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).collect()
+    got.sort(key=lambda r: r.doc_id)
     return [r.text for r in got], np.array([r.y for r in got], np.int64)
 
 

@@ -3,8 +3,8 @@
 Features of a text: its words, its pairs of neighbouring words (hashed without
 regard to order, so a word said twice falls in one bucket whatever the word) and
 its character 4-grams (bytes, A-Z lower-cased). The fit runs on the driver on at
-most ``SAMPLE`` labelled documents of each label of at most ``LONGEST``
-characters. With two labels, softmax of an average of vectors is a sigmoid of an
+most ``SAMPLE`` labelled documents of each label, whole: those of up to
+``LONGEST`` characters first, then at most 100 longer ones. With two labels, softmax of an average of vectors is a sigmoid of an
 average of one number per bucket; those (1 MB, fixed) go to the executors.
 """
 

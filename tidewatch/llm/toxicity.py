@@ -6,8 +6,8 @@ trigram vectors. A text is scored in windows of ``SPAN`` words, a new one every
 is by multiple instances: a toxic document teaches through its currently worst
 window, a clean one through its worst and a random one.
 
-The fit runs on the driver on at most ``SAMPLE`` labelled documents of each label
-of at most ``LONGEST`` characters. The parameters (about 1.5 MB, fixed) go to the
+The fit runs on the driver on at most ``SAMPLE`` labelled documents of each label,
+whole: those of up to ``LONGEST`` characters first, then at most 100 longer ones. The parameters (about 1.5 MB, fixed) go to the
 executors, which read each text once and hold a chunk of it at a time.
 """
 
