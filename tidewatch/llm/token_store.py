@@ -1,30 +1,38 @@
 """Token-id files: flat unsigned integers, 64-bit document offsets, memory-mapped, with bases from prefix sums.
 
-A store is a folder with, for each range of doc_ids, ``NNNNNN-<write>.ids`` (the
-ids of its documents one after the other, uint16 where the vocabulary allows,
-else uint32, little-endian) and ``NNNNNN-<write>.idx`` (int64 doc_ids, then
-uint64 offsets, one more than documents). Ranges ascend, so documents ascend over
-the whole store. The manifest (one row per range) holds counts; the base of a
-range is the prefix sum of the tokens before it.
-
-Ranges are cut by quantiles of doc_id and hold about ``PER_RANGE`` documents. A
-range is written whole by one task under a name of its own and listed only when
-complete, so a lost or repeated task leaves a file that nobody reads.
+A store is a folder with, for each range of doc_ids, files ``NNNNNN-NNNNNN-<write>.ids``
+(the ids of its documents one after the other, uint16 where the vocabulary allows,
+else uint32, little-endian) and ``.idx`` (int64 doc_ids, then uint64 offsets, one
+more than documents). Ranges ascend, so documents ascend over the whole store. The
+manifest (one row per file) holds counts; the base of a file is the prefix sum of
+the tokens before it.
+
+Ranges are cut by sampled quantiles and hold about ``PER_RANGE`` documents; ties of
+doc_id are ordered by hash, so a doc_id that very many rows repeat fills several
+ranges, and a file ends at twice as many documents. Each file is written by one
+task under a name of its own and listed only when complete, so a lost or repeated
+task leaves a file that nobody reads.
 """
 
 from __future__ import annotations
 
+import re
+import sys
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as c
+from .bpe import byte_symbols
 
 PER_RANGE = 4000
-CACHED = 400_000
+#: Bytes that a worker's caches take, about.
+CACHED = 200_000_000
+MANIFEST = ("range", "part", "ids", "idx", "documents", "nulls", "tokens", "dtype")
 
 
 def local(path: str) -> str | None:
@@ -60,61 +68,114 @@ def mapped(path: str, dtype: str) -> np.ndarray:
         return np.frombuffer(f.read(), dtype)
 
 
-class Encoder:
-    """Ids of whole texts from the tokenizers library, asked once for each different piece.
+class Halves(dict):
+    """A cache of two halves: a full young half becomes the old one, and what is still in use comes back from there. What neither has is made by ``make``."""
+
+    def __init__(self, most: int, make) -> None:  # noqa: ANN001
+        self.most, self.held, self.make, self.old = most, 0, make, {}
+
+    def __missing__(self, word: str) -> bytes:
+        got = self.old.get(word)
+        if got is None:
+            got = self.make(word)
+        self[word] = got
+        self.held += len(word) + 200
+        return got
+
+    def turn(self) -> None:
+        if self.held > self.most:
+            self.old, self.held = dict(self), 0
+            self.clear()
+
+
+class Spaced(Exception):
+    """White space after a space: the text must be cut with care."""
+
 
-    The file's pre-tokenizer cuts a text by one pattern, and pieces are encoded
-    independently; so pieces are cached as bytes and joined. Texts that hold an
-    added token go to the library whole.
+class Encoder:
+    """Ids of whole texts from the tokenizers library, asked once for each different word.
+
+    The file's pre-tokenizer keeps a space with the letters, digits or marks that
+    follow it, so a space before anything but white space begins a piece. Texts
+    are cut at spaces, which needs no table of letters, and words are cached as
+    bytes and joined. A new word of the commonest shape (letters, marks, perhaps
+    a newline and again letters, marks) is put together from its pieces, cached
+    too; others are asked for whole. Texts that hold an added token go to the
+    library whole, and those with white space after a space are cut only where it
+    is safe, their words not cached.
     """
 
-    #: Fixed value: the pattern that byte-level pre-tokenizing uses.
-    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    #: Fixed value: letters below U+0250, the same in all versions of Unicode in use.
+    LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
+    MARKS = r"!-/:-@\[-`{-~"
 
     def __init__(self, file: str, end: int) -> None:
-        import regex
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_str(file)
         self.lib.no_truncation()
         self.lib.no_padding()
         self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.dtype = "<u2" if max(self.lib.get_vocab_size(True), end + 1) <= 1 << 16 else "<u4"
-        self.pieces = regex.compile(self.PATTERN).findall
-        self.cache: dict[str, bytes] = {}
-        self.end = np.array([end], self.dtype).tobytes()
-
-    def learn(self, words: list[str]) -> None:
-        """Cache pieces that are a space and letters, asked for as one text: the pattern cuts it into just these."""
-        e = self.lib.encode("".join(words), add_special_tokens=False)
-        ids, at = np.array(e.ids, self.dtype), np.array(e.word_ids)
-        if np.array_equal(np.unique(at), np.arange(len(words))):
-            edge = np.searchsorted(at, np.arange(len(words) + 1))
-            self.cache.update((w, ids[a:b].tobytes()) for w, a, b in zip(words, edge, edge[1:], strict=False))
+        vocab = self.lib.get_vocab(with_added_tokens=True)
+        self.dtype = "<u2" if max(len(vocab), end + 1) <= 1 << 16 else "<u4"
+        self.code = "H" if self.dtype == "<u2" else "I"
+        self.symbols = str.maketrans({chr(k): x for k, x in byte_symbols().items()})
+        self.model = self.lib.model
+        self.shape = re.compile(f"([{self.LETTERS}]+)([{self.MARKS}]*)(?:\n([{self.LETTERS}]+)([{self.MARKS}]*))?").fullmatch
+        self.apart = re.compile(r"(?<!\s) |(?<=\s) (?=\S)").split
+        self.words, self.pieces = Halves(CACHED // 2, self.spaced), Halves(CACHED // 2, self.piece)
+        self.end = self.packed([end])
+
+    def packed(self, ids: list[int]) -> bytes:
+        x = array(self.code, ids)
+        if sys.byteorder == "big":
+            x.byteswap()
+        return x.tobytes()
+
+    def whole(self, text: str) -> bytes:
+        return self.packed(self.lib.encode(text, add_special_tokens=False).ids)
+
+    def piece(self, text: str) -> bytes:
+        return self.packed([t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.symbols))])
+
+    def spaced(self, word: str) -> bytes:
+        """Ids of a word with a space before it."""
+        if not word or word[0].isspace():
+            raise Spaced
+        return self.word(" ", word)
+
+    def word(self, before: str, word: str) -> bytes:
+        m = self.shape(word)
+        if m is None:
+            return self.whole(before + word)
+        a, b, x, y = m.groups()
+        pieces = self.pieces
+        got = pieces[before + a]
+        if b:
+            got += pieces[b]
+        if x:
+            got += pieces["\n"] + pieces[x]
+            if y:
+                got += pieces[y]
+        return got
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids, the end id appended."""
-        cut, new = [], set()
-        if len(self.cache) > CACHED:
-            self.cache.clear()
+        self.words.turn()
+        self.pieces.turn()
+        get, out = self.words.__getitem__, []
         for t in texts:
-            if any(a in t for a in self.added) or (not t.isascii() and max(t) >= "ɐ"):
-                cut.append(None)  # the library's own tables decide what is a letter there
+            if any(a in t for a in self.added):
+                out.append(self.whole(t) + self.end)
                 continue
-            p = self.pieces(t)
-            cut.append(p)
-            new.update(p)
-        new = [x for x in new if x not in self.cache]
-        run = [x for x in new if x[0] == " " and x[1:].isalpha()]
-        for lo in range(0, len(run), 2000):
-            self.learn(run[lo : lo + 2000])
-        new = [x for x in new if x not in self.cache]
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            for x, e in zip(part, self.lib.encode_batch(part, add_special_tokens=False), strict=True):
-                self.cache[x] = np.array(e.ids, self.dtype).tobytes()
-        get = self.cache.__getitem__
-        return [(np.array(self.lib.encode(t, add_special_tokens=False).ids, self.dtype).tobytes() if p is None else b"".join(map(get, p))) + self.end for t, p in zip(texts, cut, strict=True)]
+            first, *words = t.split(" ")
+            try:
+                rest = b"".join(map(get, words))
+            except Spaced:
+                first, *words = self.apart(t)
+                rest = b"".join([self.whole(" " + w) if not w or w[0].isspace() or w[-1].isspace() else get(w) for w in words])
+            out.append((self.word("", first) if first else b"") + rest + self.end)
+        return out
 
 
 def encoder(file: str, end: int) -> Encoder:
@@ -126,64 +187,55 @@ def encoder(file: str, end: int) -> Encoder:
 
 
 def write_store(docs: DataFrame, path: str, folder: str, end: int = 0, per_range: int = PER_RANGE) -> list[tuple]:
-    """Write docs(doc_id, text) as a store; returns its manifest: (range, ids file, index file, documents, tokens, dtype), ascending.
+    """Write docs(doc_id, text) as a store; returns its manifest: (range, part, ids file, index file, documents, nulls, tokens, dtype), ascending.
 
     Null and empty texts are the end id alone. Rows that repeat a doc_id stand
-    side by side, by text. A null doc_id raises ValueError: it has no place in
-    the order. An empty table gives an empty manifest.
+    side by side; with different texts in an order by hash, so that they may lie
+    in several ranges. Null doc_ids stand before all others; the manifest says
+    how many a file begins with. An empty table gives an empty manifest.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     spark = docs.sparkSession
-    stat = docs.agg(F.count("*").alias("n"), F.count("doc_id").alias("known")).first()
-    if stat.known < stat.n:
-        raise ValueError("a doc_id is null")
-    k = max(1, -(-stat.n // per_range))
-    cuts = sorted({int(x) for x in docs.approxQuantile("doc_id", [i / k for i in range(1, k)], 0.2 / k)}) if k > 1 else []
-    bounds = spark.sparkContext.broadcast(np.array(cuts, np.int64))
+    n, most = docs.groupBy("doc_id").count().agg(F.sum("count"), F.max("count")).first()
+    if not n:
+        return []
     file = spark.sparkContext.broadcast(open(path, encoding="utf-8").read())
 
-    @F.pandas_udf("int")
-    def range_of(x):  # noqa: ANN001
-        import pandas as pd
-
-        return pd.Series(np.searchsorted(bounds.value, x.to_numpy(), "right").astype(np.int32))
-
     def run(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        enc, now, held, ids, sizes, rows = encoder(file.value, end), None, [], [], [], []
+        enc, here, ids, sizes, held, rows, unknown = encoder(file.value, end), TaskContext.get().partitionId(), [], [], [], [], 0
+        width = np.dtype(enc.dtype).itemsize
 
         def close():
-            if now is None:
-                return None
-            name = f"{folder}/{now:06d}-{uuid.uuid4().hex}"
+            nonlocal unknown
+            name = f"{folder}/{here:06d}-{len(rows):06d}-{uuid.uuid4().hex}"
             off = np.r_[0, np.cumsum(np.array(sizes, np.int64))].astype("<u8")
             store_bytes(name + ".ids", held)
             store_bytes(name + ".idx", [np.array(ids, "<i8").tobytes(), off.tobytes()])
-            row = (now, name + ".ids", name + ".idx", len(ids), int(off[-1]), enc.dtype)
+            rows.append((here, len(rows), name + ".ids", name + ".idx", len(ids), unknown, int(off[-1]), enc.dtype))
             held.clear(), ids.clear(), sizes.clear()
-            return row
+            unknown = 0
 
-        width = np.dtype(enc.dtype).itemsize
         for batch in batches:
             for lo in range(0, len(batch), 500):
                 part = batch.slice(lo, 500)
-                got = enc.encode([t or "" for t in part.column("text").to_pylist()])
-                for r, d, x in zip(part.column("range").to_pylist(), part.column("doc_id").to_pylist(), got, strict=True):
-                    if r != now:
-                        if row := close():
-                            rows.append(row)
-                        now = r
+                for d, x in zip(part.column("doc_id").to_pylist(), enc.encode([t or "" for t in part.column("text").to_pylist()]), strict=True):
+                    unknown += d is None
                     held.append(x)
-                    ids.append(d)
+                    ids.append(d or 0)
                     sizes.append(len(x) // width)
-        if row := close():
-            rows.append(row)
-        yield pa.RecordBatch.from_pylist([dict(zip(("range", "ids", "idx", "documents", "tokens", "dtype"), r, strict=True)) for r in rows], pa.schema([("range", pa.int32()), ("ids", pa.string()), ("idx", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64()), ("dtype", pa.string())]))
-
-    ranged = docs.withColumn("range", range_of("doc_id")) if cuts else docs.withColumn("range", F.lit(0))
-    spread = ranged.repartition(max(len(cuts) + 1, 1), "range").sortWithinPartitions("range", "doc_id", "text").select("range", "doc_id", "text")
-    done = c.cut(spread.mapInArrow(run, "range int, ids string, idx string, documents long, tokens long, dtype string"), "manifest")
+                if len(ids) >= 2 * per_range:
+                    close()
+        if ids:
+            close()
+        kinds = {"part": pa.int32(), "range": pa.int32(), "ids": pa.string(), "idx": pa.string(), "dtype": pa.string()}
+        yield pa.RecordBatch.from_pylist([dict(zip(MANIFEST, r, strict=True)) for r in rows], pa.schema([(k, kinds.get(k, pa.int64())) for k in MANIFEST]))
+
+    tie = F.xxhash64("text")
+    spread = docs.repartitionByRange(-(-n // per_range), "doc_id", *[tie] * (most > per_range)).sortWithinPartitions("doc_id", tie)
+    done = c.cut(spread.mapInArrow(run, "range int, part int, ids string, idx string, documents long, nulls long, tokens long, dtype string"), "manifest")
     manifest = sorted(tuple(r) for r in done.collect())
     c.drop(done)
     return manifest
@@ -192,9 +244,9 @@ def write_store(docs: DataFrame, path: str, folder: str, end: int = 0, per_range
 def read_store(spark: SparkSession, manifest: list[tuple], ids: bool = False) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32), with ``ids`` the ids too, from the files: start counts all ids before the document."""
     base, rows = 0, []
-    for r in manifest:
-        rows.append((r[1], r[2], r[3], r[5], base))
-        base += r[4]
+    for m in (dict(zip(MANIFEST, r, strict=True)) for r in manifest):
+        rows.append((m["ids"], m["idx"], m["documents"], m["nulls"], m["dtype"], base))
+        base += m["tokens"]
 
     def run(batches):
         import pyarrow as pa
@@ -207,12 +259,12 @@ def read_store(spark: SparkSession, manifest: list[tuple], ids: bool = False) ->
                 for lo in range(0, n, 1000):
                     hi = min(n, lo + 1000)
                     wide = [flat[off[i] : off[i + 1]].astype("<u4") for i in range(lo, hi)]
-                    out = [pa.array(doc[lo:hi]), pa.array(off[lo:hi] + m["base"]), pa.array(np.diff(off[lo : hi + 1])), pa.array([zlib.crc32(x.tobytes()) for x in wide], pa.int64())]
+                    out = [pa.array(doc[lo:hi], mask=np.arange(lo, hi) < m["nulls"]), pa.array(off[lo:hi] + m["base"]), pa.array(np.diff(off[lo : hi + 1])), pa.array([zlib.crc32(x.tobytes()) for x in wide], pa.int64())]
                     if ids:
                         out.append(pa.array([x.astype(np.int64) for x in wide], pa.list_(pa.int64())))
                     yield pa.RecordBatch.from_arrays(out, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: 4 + ids])
 
-    files = spark.createDataFrame(rows, "ids string, idx string, documents long, dtype string, base long").repartition(max(1, len(rows)))
+    files = spark.createDataFrame(rows, "ids string, idx string, documents long, nulls long, dtype string, base long").repartition(max(1, len(rows)))
     return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * ids)
 
 
