@@ -33,9 +33,11 @@ BANDS, ROWS = 32, 4
 SLACK = 26
 #: Members up to which a bucket's pairs are rows of their own; members of a chunk and of a block of a larger bucket.
 SMALL, CHUNK, BLOCK = 32, 64, 128
-#: A large bucket's blocks are copied so many times, so that its chunks meet them in as many tasks.
+#: A large bucket's blocks are dealt to so many tasks or more, its chunks copied to each: as often as copies make up the bucket's size, as chunks are mostly few.
 SALTS = 8
-#: So many 8-byte ids at most are broadcast (16 MB).
+#: Shingles of a chunk or a block, about: very long documents make more and smaller ones.
+SHINGLES = 100_000
+#: So many 8-byte ids at most are broadcast (under 64 MB with their hash table).
 LISTED = 2_000_000
 
 
@@ -66,7 +68,9 @@ def shingle_sets(texts, shingle: int = SHINGLE):
 
 
 def signatures(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, n_shingles, set_key, sig, bands): set_key names the set, sig holds 16 bits of each minimum."""
+    """docs(doc_id, text) -> (doc_id, n_shingles, set_key, sig): set_key names the set; sig has, for each band, 16 bits of each of its four minima in one number, under a mask of the band, so that equal minima in different bands don't meet in a bucket."""
+    if rows != 4:
+        raise ValueError("a band has four minima, 16 bits of each")
     k = bands * rows
 
     def run(batches):
@@ -75,8 +79,9 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows
         rng = np.random.default_rng(20)
         a = rng.integers(1, 1 << 63, k, dtype=np.int64).astype(c.U) | c.U(1)
         b = rng.integers(0, 1 << 63, k, dtype=np.int64).astype(c.U)
+        masks = rng.integers(-(1 << 63), (1 << 63) - 1, bands, dtype=np.int64)
         for batch in batches:
-            sizes, keys, sigs, bins = [], [], [], []
+            sizes, keys, sigs = [], [], []
             held, held_n = [], 0
 
             def flush():
@@ -84,16 +89,10 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows
                     return
                 x = np.concatenate(held)
                 at = np.r_[0, np.cumsum([len(s) for s in held])[:-1]]
-                low = np.empty((len(held), k), c.U)
+                low = np.empty((len(held), k), np.uint16)
                 for j in range(k):
-                    low[:, j] = np.minimum.reduceat(x * a[j] + b[j], at)
-                low >>= c.U(32)
-                g = low.reshape(len(held), bands, rows)
-                mix = np.full(g.shape[:2], 0, c.U) + np.arange(1, bands + 1, dtype=c.U) * c.U(0x9E3779B97F4A7C15)
-                for j in range(rows):
-                    mix = c.fmix((mix ^ g[:, :, j]) * c.U(0x100000001B3))
-                sigs.extend(x.tobytes() for x in (low & c.U(0xFFFF)).astype(np.uint16))
-                bins.extend(mix.view(np.int64))
+                    low[:, j] = (np.minimum.reduceat(x * a[j] + b[j], at) >> c.U(32)).astype(np.uint16)
+                sigs.extend(low.view(np.int64) ^ masks)
                 held.clear()
 
             for s in shingle_sets(batch.column("text"), shingle):
@@ -102,7 +101,6 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows
                     flush()
                     keys.append(None)
                     sigs.append(None)
-                    bins.append(None)
                     continue
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 held.append(s)
@@ -111,27 +109,40 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows
                     flush()
             flush()
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bins, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "set_key", "sig", "bands"],
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "sig"]
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig binary, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig array<long>")
 
 
-def agree(x: Column, y: Column, bands: int = BANDS, rows: int = ROWS) -> Column:
-    """In how many minima two signatures agree."""
-    @F.pandas_udf("int")
-    def count(p, q):  # noqa: ANN001
-        import pandas as pd
+def minima(x) -> np.ndarray:
+    """The signatures of an Arrow list array as rows of 16-bit minima."""
+    return x.flatten().to_numpy(zero_copy_only=False).view(np.uint16).reshape(len(x), -1)
 
-        m = np.frombuffer(b"".join(p), np.uint16).reshape(len(p), -1) == np.frombuffer(b"".join(q), np.uint16).reshape(len(q), -1)
-        return pd.Series(m.sum(1).astype(np.int32))
 
-    return count(x, y)
+def likely(pairs: DataFrame, least: int) -> DataFrame:
+    """(a, b, n) of pairs(a, b, x, y) whose signatures x and y agree in n >= least minima."""
+
+    def count(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if len(batch):
+                n = (minima(batch.column("x")) == minima(batch.column("y"))).sum(1)
+                ok = n >= least
+                yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(ok)), batch.column("b").filter(pa.array(ok)), pa.array(n[ok].astype(np.int32))], ["a", "b", "n"])
+
+    return pairs.select("a", "b", "x", "y").mapInArrow(count, "a long, b long, n int")
+
+
+def picked(rows: DataFrame, ids: DataFrame, on: str = "doc_id") -> DataFrame:
+    """The rows whose ``on`` is among ids(doc_id), a written frame: up to ``LISTED`` ids, counted, are broadcast, so that rows stay where they are; more are joined by a shuffle."""
+    ids = ids.select(F.col("doc_id").alias(on))
+    return rows.join(F.broadcast(ids) if ids.count() <= LISTED else ids.distinct(), on, "left_semi")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """(id, s): the shingle sets, as bytes, of the documents in ids(doc_id). Up to ``LISTED`` ids are broadcast, so that texts stay where they are; more are joined by a shuffle."""
+    """(id, s): the shingle sets, as bytes, of the documents in ids(doc_id)."""
 
     def build(batches):
         import pyarrow as pa
@@ -139,8 +150,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(batch.column("text"), shingle)], pa.binary())], ["id", "s"])
 
-    few = F.broadcast(ids) if ids.count() <= LISTED else ids
-    return c.cut(docs.join(few, "doc_id", "left_semi").mapInArrow(build, "id long, s binary"), "sets")
+    return c.cut(picked(docs, ids).mapInArrow(build, "id long, s binary"), "sets")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -159,8 +169,12 @@ def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
                 keep.append(den * common >= num * (len(both) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    pairs = c.cut(pairs.select("a", "b"), "pairs")
+    sets = picked(sets, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), "id")
     full = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    return c.cut(full.select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long"), "links")
+    out = c.cut(full.select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long"), "links")
+    c.drop(pairs)
+    return out
 
 
 def hopeless(sets: DataFrame, ids: DataFrame, num: int, den: int) -> DataFrame:
@@ -175,7 +189,7 @@ def hopeless(sets: DataFrame, ids: DataFrame, num: int, den: int) -> DataFrame:
                 hi = min(len(flat), lo + (1 << 16))
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("id").to_numpy(), n)[lo:hi]), pa.array(flat[lo:hi])], ["id", "x"])
 
-    each = sets.join(ids.withColumnRenamed("doc_id", "id"), "id", "left_semi").mapInArrow(unpack, "id long, x long")
+    each = picked(sets, ids, "id").mapInArrow(unpack, "id long, x long")
     seen = each.groupBy("x").agg(F.min("id").alias("lo"), F.count("*").alias("n"))
     alone = seen.filter("n = 1").groupBy(F.col("lo").alias("id")).agg(F.count("*").alias("alone"))
     size = sets.select("id", (F.length("s") / 8).cast("long").alias("size"))
@@ -183,7 +197,7 @@ def hopeless(sets: DataFrame, ids: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def across(many: DataFrame, uniq: DataFrame, sets: DataFrame, num: int, den: int, least: int) -> DataFrame:
-    """Links (a, b) between components of large buckets, from rows (key, doc_id, n, comp, big, m).
+    """Links (a, b) between components of large buckets, from rows (key, doc_id, n, comp, big) with the bucket's members m and their shingles total, and the same of members outside big, away and away_n.
 
     A bucket's members outside its largest component, ``CHUNK`` at a time, meet all
     its members, ``BLOCK`` at a time, inside one row of the plan: their signatures,
@@ -192,11 +206,14 @@ def across(many: DataFrame, uniq: DataFrame, sets: DataFrame, num: int, den: int
     the first bucket it shares. So rows grow with members, not with pairs, and no
     task holds more than a chunk and a block.
     """
-    full = many.join(uniq.select("doc_id", "sig", "bands"), "doc_id").join(sets.select(F.col("id").alias("doc_id"), "s"), "doc_id")
-    one = F.struct("doc_id", "comp", "n", "sig", "bands", "s")
-    part = lambda size: F.pmod(F.xxhash64("doc_id", "key"), F.ceil(F.col("m") / size))
-    chunks = full.filter("comp <> big").groupBy("key", part(CHUNK).alias("chunk")).agg(F.collect_list(one).alias("x")).withColumn("salt", F.pmod("chunk", F.lit(SALTS)))
-    blocks = full.groupBy("key", part(BLOCK).alias("block")).agg(F.collect_list(one).alias("y")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    ids = c.cut(many.select("doc_id").distinct(), "ids")
+    full = many.join(picked(uniq.select("doc_id", "sig"), ids), "doc_id").join(picked(sets.select(F.col("id").alias("doc_id"), "s"), ids), "doc_id")
+    one = F.struct("doc_id", "comp", "n", "sig", "s")
+    part = lambda m, total, size: F.pmod(F.xxhash64("doc_id", "key"), F.greatest(F.ceil(F.col(m) / size), F.ceil(F.col(total) / SHINGLES)))
+    many_blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("total") / SHINGLES))
+    salts = F.least(many_blocks, F.greatest(F.lit(SALTS).cast("bigint"), F.floor(F.col("m") / F.greatest("away", F.lit(1)))))
+    chunks = full.filter("comp <> big").groupBy("key", part("away", "away_n", CHUNK).alias("chunk"), salts.alias("salts")).agg(F.collect_list(one).alias("x")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)))
+    blocks = full.groupBy("key", part("m", "total", BLOCK).alias("block"), salts.alias("salts")).agg(F.collect_list(one).alias("y")).withColumn("salt", F.pmod("block", "salts"))
 
     def run(batches):
         import pyarrow as pa
@@ -208,14 +225,14 @@ def across(many: DataFrame, uniq: DataFrame, sets: DataFrame, num: int, den: int
             for row, key in enumerate(batch.column("key").to_pylist()):
                 x, y = (t.values.slice(o[row], o[row + 1] - o[row]) for t, o in zip(sides, offs, strict=True))
                 col = lambda t, k: t.field(k).to_numpy(zero_copy_only=False)
-                bx, by = (t.field("bands").flatten().to_numpy().reshape(len(t), -1) for t in (x, y))
+                bx, by = (t.field("sig").flatten().to_numpy().reshape(len(t), -1) for t in (x, y))
                 same = bx[:, None, :] == by[None, :, :]
                 at = np.argmax(bx == key, 1)
                 ok = (np.argmax(same, 2) == at[:, None]) & (col(x, "comp")[:, None] != col(y, "comp")[None, :])
                 nx, ny = col(x, "n")[:, None], col(y, "n")[None, :]
                 ok &= (nx * den >= ny * num) & (ny * den >= nx * num)
                 ix, iy, cy = col(x, "doc_id"), col(y, "doc_id"), col(y, "comp")
-                sx, sy = (np.frombuffer(b"".join(t.field("sig").to_pylist()), np.uint16).reshape(len(t), -1) for t in (x, y))
+                sx, sy = (minima(t.field("sig")) for t in (x, y))
                 setx, sety = x.field("s"), y.field("s")
                 for i in np.flatnonzero(ok.any(1)):
                     js = np.flatnonzero(ok[i])
@@ -251,51 +268,60 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, num: int = 75, den:
     Rows that repeat a doc_id with the same text each get that document's result;
     with different texts they count as one document for linking. A null doc_id
     is linked with nothing and kept. An empty table gives an empty result.
-    A pair at the threshold shares no band with probability 5e-6.
+    A pair at the threshold shares no band with probability 5.2e-6, and agrees in
+    too few minima with 1e-7: both together lose 5.3e-6 of such pairs.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     base = c.cut(signatures(docs, shingle, bands, rows), "signatures")
     known = base.filter("doc_id is not null and set_key is not null")
     reps = known.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    uniq = c.cut(known.groupBy("set_key").agg(F.min_by(F.struct("doc_id", "n_shingles", "sig", "bands"), "doc_id").alias("r")).select("r.*"), "representatives")
-    slots = uniq.select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    first = slots.groupBy("key").agg(F.min_by(F.struct(F.col("doc_id").alias("pivot"), F.col("n").alias("pn")), F.xxhash64("key", "doc_id")).alias("p"), F.count("*").alias("m")).filter("m > 1").select("key", "p.*")
+    uniq = c.cut(known.groupBy("set_key").agg(F.min_by(F.struct("doc_id", "n_shingles", "sig"), "doc_id").alias("r")).select("r.*"), "representatives")
+    slots = uniq.select("doc_id", F.col("n_shingles").alias("n"), F.explode("sig").alias("key"))
+    mixed = F.col("doc_id").bitwiseXOR(F.shiftrightunsigned("key", 1))  # a bucket's own order of doc_ids, so bands differ in their pivot
+    first = slots.groupBy("key").agg(F.min(F.struct(mixed.alias("x"), "n")).alias("p"), F.count("*").alias("m")).filter("m > 1")
+    first = first.select("key", F.col("p.x").bitwiseXOR(F.shiftrightunsigned("key", 1)).alias("pivot"), F.col("p.n").alias("pn"))
     shared = c.cut(slots.join(first, "key").select("key", "doc_id", "n", "pivot", "pn"), "buckets")
-    ids = c.cut(shared.select("doc_id").distinct(), "ids")
-    sig, sets = uniq.select("doc_id", "sig"), sets_of(docs, ids, shingle)
+    sig, least = uniq.select("doc_id", "sig"), bands * rows * num // den - SLACK * bands * rows // 128
 
     def alike(x: str, y: str) -> Column:
         return (F.col(x) * den >= F.col(y) * num) & (F.col(y) * den >= F.col(x) * num)
 
-    def likely(pairs: DataFrame) -> DataFrame:
-        p = pairs.join(sig.select(F.col("doc_id").alias("a"), F.col("sig").alias("x")), "a").join(sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("y")), "b")
-        least = bands * rows * num // den - SLACK * bands * rows // 128
-        return p.select("a", "b", agree(F.col("x"), F.col("y")).alias("n")).filter(F.col("n") >= least)
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = c.cut(pairs, "candidates")
+        some = picked(sig, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")))
+        return likely(pairs.join(some.select(F.col("doc_id").alias("a"), F.col("sig").alias("x")), "a").join(some.select(F.col("doc_id").alias("b"), F.col("sig").alias("y")), "b"), least)
 
     star = shared.filter((F.col("doc_id") != F.col("pivot")) & alike("n", "pn")).select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
-    best = likely(star).groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b1"), F.min_by("b", F.struct(-F.col("n"), "b")).alias("b2"))
+    best = verified(star).groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b1"), F.min_by("b", F.struct(-F.col("n"), "b")).alias("b2"))
     star = best.select("a", F.explode(F.array_distinct(F.array("b1", "b2"))).alias("b"))
-    comp = c.cut(c.components(confirmed(star, sets, num, den)), "components")
+    ids = c.cut(shared.select("doc_id").distinct(), "ids")
+    sets = sets_of(docs, ids, shingle)
+    links = confirmed(star, sets, num, den)
+    comp = c.cut(c.components(links), "components")
 
     def placed(rows: DataFrame) -> DataFrame:
         return rows.join(comp, F.col("doc_id") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "doc_id")).drop("node")
 
     open_ = c.cut(unsettled(placed(shared.select("key", "doc_id", "n"))), "open")
-    out = hopeless(sets, open_.select("doc_id").distinct(), num, den)
+    left = c.cut(open_.select("doc_id").distinct(), "ids")
+    out = hopeless(sets, left, num, den)
     rest = open_.join(out, "doc_id", "left_anti").drop("comp", "big")
     rest = c.cut(unsettled(placed(rest)), "rest")
     c.drop(open_)
-    count = rest.groupBy("key").agg(F.count("*").alias("m"))
+    away = F.col("comp") != F.col("big")
+    count = rest.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.count_if(away).alias("away"), F.coalesce(F.sum(F.when(away, F.col("n"))), F.lit(0)).alias("away_n"))
     few = rest.join(count.filter(F.col("m") <= SMALL).select("key"), "key")
     x = few.filter("comp <> big").select("key", F.col("doc_id").alias("i"), F.col("n").alias("ni"), F.col("comp").alias("ci"))
     pairs = x.join(few.select("key", "doc_id", "n", "comp"), "key").filter((F.col("ci") != F.col("comp")) & alike("n", "ni"))
     pairs = pairs.select(F.greatest("i", "doc_id").alias("a"), F.least("i", "doc_id").alias("b")).distinct()
-    more = confirmed(likely(pairs).select("a", "b").distinct(), sets, num, den)
-    many = rest.join(count.filter(F.col("m") > SMALL), "key")
-    far = across(many, uniq, sets, num, den, bands * rows * num // den - SLACK * bands * rows // 128)
-    comp = c.cut(c.components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more).union(far)), "components")
-    for t in (shared, sets, ids, rest):
+    more = confirmed(verified(pairs).select("a", "b").distinct(), sets, num, den)
+    many = c.cut(rest.join(count.filter(F.col("m") > SMALL), "key"), "large")
+    far = across(many, uniq, sets, num, den, least)
+    for t in (shared, sets, rest, many, uniq, ids, left):
         c.drop(t)
+    comp = c.cut(c.components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more).union(far)), "components")
     of = reps.join(comp, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("comp", "rep").alias("comp"))
-    out = base.join(of, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("comp")).alias("comp"))
+    has = base.select("doc_id", "n_shingles", "set_key").filter("doc_id is not null and set_key is not null").join(of, "set_key", "left").select("doc_id", "n_shingles", "comp")
+    alone = base.filter("doc_id is null or set_key is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("comp"))
+    out = has.unionByName(alone)
     return out.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"), F.coalesce(F.coalesce("comp", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
