@@ -206,31 +206,36 @@ def word_spans(off: np.ndarray, data: np.ndarray, outside: np.ndarray = SPACE) -
 
 
 # ---------------------------------------------------------------- components
+#: Edges up to which their minima are broadcast (two numbers a node, under 64 MB).
+FEW = 1_000_000
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, comp): the smallest node that each node of an edge list reaches, by alternating large-star and small-star.
 
     Large-star hangs a node's larger neighbours on its smallest neighbour (itself
     included); small-star does so with its smaller ones. Both are a partial
     minimum and a join back, so a centre with a third of all edges is never
-    gathered in one task (AQE splits the join). It ends when a round changes
-    nothing. No edges give no rows; loops and repeated edges do no harm.
+    gathered in one task (AQE splits the join). Up to ``FEW`` edges, counted, the
+    minima are broadcast instead. It ends when a round changes nothing. No edges give no rows; loops and repeated edges do no harm.
     """
     spark = edges.sparkSession
     e = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges")
-    before = None
-    while True:
+    before, n = None, e.count()
+    while n:
+        near = F.broadcast if n <= FEW else lambda df: df
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         m = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.filter("v > u").join(near(m), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         m = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(m.select("u", F.col("m").alias("v")))
+        small = large.join(near(m), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(m.select("u", F.col("m").alias("v")))
         new = cut(small.filter("u <> v").distinct(), "edges")
-        state = new.agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(38,0)")), F.countDistinct("u")).first()
+        state = new.agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(38,0)")), F.sum(F.col("v").cast("decimal(38,0)"))).first()
         drop(e)
         e = new
         if state == before:
             break
-        before = state
+        before, n = state, state[0]
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
