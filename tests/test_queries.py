@@ -6,8 +6,11 @@ import duckdb
 import pytest
 
 from tidewatch.plans import queries as plans
+from tidewatch.plans import robust, study, views  # noqa: F401  they register their queries
 
 SF = "/root/testdata/sf0.01"
+#: Run in tests/test_study.py, with what they should say.
+ELSEWHERE = {"study_decisions_modes", "study_stages", "study_resampled_decisions"}
 
 
 @pytest.fixture(scope="module")
@@ -41,7 +44,14 @@ def test_every_week_is_that_of_the_sql(spark, con, name):
     df.unpersist()
 
 
-@pytest.mark.parametrize("name", sorted(plans.QUERIES))
+@pytest.fixture(scope="module", autouse=True)
+def shared_steps():
+    study.KEPT = {}
+    yield
+    study.KEPT = None
+
+
+@pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - ELSEWHERE))
 def test_query(spark, con, name):
     df = plans.QUERIES[name](spark, SF)
     got = df.collect()

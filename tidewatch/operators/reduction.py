@@ -68,31 +68,54 @@ def reduce_records(records: DataFrame) -> DataFrame:
     )
 
 
-def accumulate(hours: DataFrame, days: int = 7) -> DataFrame:
-    """AG5: one row per source from source-hours. Hours before the window (below 0) count in all sums and in no bitmap (FIL8)."""
-    ports = hours.select("src", F.explode("topports").alias("port", "n")).groupBy("src", "port").agg(F.sum("n").alias("n"))
-    ranked = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "port"))), 1, 3)
-    ports = ports.groupBy("src").agg(F.count("*").alias("ports"), F.transform(ranked, lambda s: s["port"]).alias("top3"))
-    inside = F.col("h") >= 0
-    per_hour = hours.filter(inside).groupBy("src", "h").agg(F.sum("pk").alias("pk")).groupBy("src").agg(F.map_from_entries(F.collect_list(F.struct("h", "pk"))).alias("hour_pk"))
-    known = F.col("rdns") != ""
+SUMS = ("nrec", "pk", "bytes", "ud", "ud24", "zm", "ms", "mi", "stride_pos", "stride_neg", "stride_big")
+
+
+def _maps(rows: DataFrame, of: str, key: str, value: str) -> DataFrame:
+    """(src, of): summed counts per key as a map."""
+    return rows.groupBy("src", key).agg(F.sum(value).alias("n")).groupBy("src").agg(F.map_from_entries(F.collect_list(F.struct(key, "n"))).alias(of))
+
+
+def partial(hours: DataFrame, days: int = 7) -> DataFrame:
+    """AG5: what a source's hours amount to, in a form that merge() can add up. Hours before the window (below 0) count in all sums and in no bitmap (FIL8)."""
+    inside, known = F.col("h") >= 0, F.col("rdns") != ""
+    h = F.when(inside, F.col("h"))
     base = hours.groupBy("src").agg(
-        F.bit_or("pmask").alias("pm"), F.sum("nrec").alias("nrec"), F.max("nports").alias("nports"), *[F.sum(c).alias(c) for c in ("pk", "bytes", "ud", "ud24", "zm", "ms", "mi", "stride_pos", "stride_neg", "stride_big")], F.max("udmax").alias("udmax"),
-        F.coalesce(F.min(F.nullif("t0", F.lit(0))), F.lit(0).cast("bigint")).alias("t0"), F.max("t1").alias("t1"), bitmap.day_words(F.when(inside, F.col("h")), days).alias("words"), F.min(F.when(inside, F.col("h"))).alias("hfirst"), F.max(F.when(inside, F.col("h"))).alias("hlast"),
+        F.bit_or("pmask").alias("pm"), *[F.sum(c).alias(c) for c in SUMS], F.max("nports").alias("nports"), F.max("udmax").alias("udmax"), F.min(F.nullif("t0", F.lit(0))).alias("t0"), F.max("t1").alias("t1"), bitmap.day_words(h, days).alias("words"), F.min(h).alias("hfirst"), F.max(h).alias("hlast"),
         F.min(F.struct("h", "asn", "cc", "org")).alias("first"), F.min(F.when(known, F.struct("h", "rdns"))).alias("named"),
     )
-    sam = bottom(hours.select("src", F.explode("samples").alias("s")), ["src"], SOURCE_SAMPLES)
-    out = base.join(ports, "src", "left").join(per_hour, "src", "left").join(sam, "src", "left")
-    return out.select(
-        "src", "pm", "nrec", "nports", F.coalesce("ports", F.lit(0)).alias("ports"), "top3", "pk", "bytes", "ud", "ud24", "udmax", "t0", "t1", "words", "hfirst", "hlast", F.coalesce("hour_pk", F.create_map().cast("map<bigint,bigint>")).alias("hour_pk"), "zm", "ms", "mi",
-        "stride_pos", "stride_neg", "stride_big", F.col("first.asn").alias("asn"), F.col("first.cc").alias("cc"), F.col("first.org").alias("org"), F.coalesce("named.rdns", F.lit("")).alias("rdns"), F.coalesce("samples", F.array().cast(out.schema["samples"].dataType)).alias("samples"),
+    ports = _maps(hours.select("src", F.explode("topports").alias("port", "n")), "port_n", "port", "n")
+    per_hour = _maps(hours.filter(inside), "hour_pk", "h", "pk")
+    return _whole(base.join(ports, "src", "left").join(per_hour, "src", "left").join(bottom(hours.select("src", F.explode("samples").alias("s")), ["src"], SOURCE_SAMPLES), "src", "left"))
+
+
+def _whole(parts: DataFrame) -> DataFrame:
+    """Empty maps and samples where a source has none."""
+    kinds = {f.name: f.dataType for f in parts.schema}
+    none = {"port_n": F.create_map().cast("map<int,bigint>"), "hour_pk": F.create_map().cast("map<bigint,bigint>"), "samples": F.array().cast(kinds["samples"])}
+    return parts.withColumns({k: F.coalesce(k, v) for k, v in none.items()})
+
+
+def merge(parts: DataFrame, days: int = 7) -> DataFrame:
+    """AG5's merge law: any number of partial() rows of a source as one. Sums, ors, minima, maxima, maps by key, bottom-k samples: whatever the split, the same rows."""
+    base = parts.groupBy("src").agg(
+        F.bit_or("pm").alias("pm"), *[F.sum(c).alias(c) for c in SUMS], F.max("nports").alias("nports"), F.max("udmax").alias("udmax"), F.min("t0").alias("t0"), F.max("t1").alias("t1"), F.array(*[F.bit_or(F.get("words", d)) for d in range(days)]).alias("words"), F.min("hfirst").alias("hfirst"), F.max("hlast").alias("hlast"),
+        F.min("first").alias("first"), F.min("named").alias("named"),
     )
+    ports = _maps(parts.select("src", F.explode("port_n").alias("port", "n")), "port_n", "port", "n")
+    per_hour = _maps(parts.select("src", F.explode("hour_pk").alias("h", "pk")), "hour_pk", "h", "pk")
+    return _whole(base.join(ports, "src", "left").join(per_hour, "src", "left").join(bottom(parts.select("src", F.explode("samples").alias("s")), ["src"], SOURCE_SAMPLES), "src", "left")).select(*parts.columns)
 
 
-def merged(parts: DataFrame) -> DataFrame:
-    """AG5's merge law: accumulated parts of the same sources (hour ranges, shards) as one row per source. Parts are merged through what accumulate() itself aggregates, so any split gives the same rows."""
-    named = F.col("rdns") != ""
-    ports = parts.select("src", F.explode("port_n").alias("port", "n")).groupBy("src", "port").agg(F.sum("n").alias("n")).groupBy("src").agg(F.map_from_entries(F.collect_list(F.struct("port", "n"))).alias("port_n"))
-    hours = parts.select("src", F.explode("hour_pk").alias("h", "pk")).groupBy("src", "h").agg(F.sum("pk").alias("pk")).groupBy("src").agg(F.map_from_entries(F.collect_list(F.struct("h", "pk"))).alias("hour_pk"))
-    base = parts.groupBy("src").agg(F.bit_or("pm").alias("pm"), *[F.sum(c).alias(c) for c in ("nrec", "pk", "bytes", "ud", "ud24", "zm", "ms", "mi")], F.max("udmax").alias("udmax"), F.min("hfirst").alias("hfirst"), F.max("hlast").alias("hlast"), F.min_by("cc", "hfirst").alias("cc"), F.min(F.when(named, F.struct("hfirst", "rdns"))).alias("named"))
-    return base.join(ports, "src", "left").join(hours, "src", "left").withColumn("rdns", F.coalesce("named.rdns", F.lit(""))).drop("named")
+def finished(parts: DataFrame) -> DataFrame:
+    """One row per source, ready for a profile, from partial() or merge()."""
+    ranked = F.slice(F.array_sort(F.transform(F.map_entries("port_n"), lambda e: F.struct((-e["value"]).alias("k"), e["key"].alias("port")))), 1, 3)
+    return parts.select(
+        "src", "pm", "nrec", "nports", F.size("port_n").alias("ports"), F.transform(ranked, lambda x: x["port"]).alias("top3"), "pk", "bytes", "ud", "ud24", "udmax", F.coalesce("t0", F.lit(0).cast("bigint")).alias("t0"), "t1", "words", "hfirst", "hlast", "hour_pk", "zm", "ms", "mi", "stride_pos", "stride_neg", "stride_big",
+        F.col("first.asn").alias("asn"), F.col("first.cc").alias("cc"), F.col("first.org").alias("org"), F.coalesce("named.rdns", F.lit("")).alias("rdns"), "samples",
+    )
+
+
+def accumulate(hours: DataFrame, days: int = 7) -> DataFrame:
+    """AG5: one row per source from source-hours."""
+    return finished(partial(hours, days))

@@ -73,13 +73,13 @@ SLOTS = 64
 TRIES = 9
 
 
-def numbered(p: DataFrame, members: DataFrame, by: list[str]) -> DataFrame:
-    """(*by, r, peer, peer_camp): the sources of each stratum numbered from 0 on by (src mod SLOTS, src). A stratum's slots are numbered apart and shifted by the counts of the slots before."""
-    q = p.join(members.select("src", F.col("camp").alias("peer_camp")), "src", "left").withColumn("slot", F.pmod("src", F.lit(SLOTS)))
+def numbered(p: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, r, peer): the sources of each stratum numbered from 0 on by (src mod SLOTS, src). A stratum's slots are numbered apart and shifted by the counts of the slots before."""
+    q = p.withColumn("slot", F.pmod("src", F.lit(SLOTS)))
     n = q.groupBy(*by, "slot").agg(F.count("*").alias("n"))
     before = n.withColumn("before", F.sum("n").over(W.partitionBy(*by).orderBy("slot").rowsBetween(W.unboundedPreceding, -1))).select(*by, "slot", F.coalesce("before", F.lit(0)).alias("before"))
     q = q.withColumn("i", F.row_number().over(W.partitionBy(*by, "slot").orderBy("src")) - 1).join(before, [*by, "slot"])
-    return q.select(*by, (F.col("i") + F.col("before")).cast("bigint").alias("r"), F.col("src").alias("peer"), "peer_camp")
+    return q.select(*by, (F.col("i") + F.col("before")).cast("bigint").alias("r"), F.col("src").alias("peer"))
 
 
 def _per_bin(rows: DataFrame, by: list[str], name: str) -> DataFrame:
@@ -142,9 +142,9 @@ def drawn_peers(used: DataFrame, p: DataFrame, members: DataFrame, tiers: DataFr
     at = tiers.filter(F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x) > 0)
     u = used.join(at, ["camp", *own, "bin"]).withColumn("total", F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x))
     u = u.select("camp", "src", "port", *own, "tier", "counts", "total", F.explode(F.sequence(F.lit(1), F.lit(b))).alias("b"))
-    lists = {False: numbered(q, members, ["port", "at"])}
+    lists = {False: numbered(q, ["port", "at"])}
     if own:
-        lists[True] = numbered(q, members, ["port", "cc", "at"])
+        lists[True] = numbered(q, ["port", "cc", "at"])
 
     def looked_up(rows: DataFrame) -> DataFrame:
         g = scalar.draw(F.col("src") * 7919 + F.col("b").cast("bigint") * 104729 + F.col("try") * 50_000_017 + seed + 1, F.col("total"))
@@ -154,7 +154,8 @@ def drawn_peers(used: DataFrame, p: DataFrame, members: DataFrame, tiers: DataFr
         out = rows.filter("tier > 0").join(lists[False], ["port", "at", "r"])
         if own:
             out = out.drop("cc").unionByName(rows.filter("tier <= 0").join(lists[True], ["port", "cc", "at", "r"]).drop("cc"))
-        return out.select("camp", "src", "b", "try", "peer", F.coalesce(F.col("peer_camp") == F.col("camp"), F.lit(False)).alias("member"))
+        out = out.join(members.select("camp", F.col("src").alias("peer"), F.lit(True).alias("member")), ["camp", "peer"], "left")
+        return out.select("camp", "src", "b", "try", "peer", F.coalesce("member", F.lit(False)).alias("member"))
 
     one = stage(looked_up(u.withColumn("try", F.lit(0).cast("bigint"))), "peers-first")
     again = u.join(one.filter("member").select("camp", "src", "b"), ["camp", "src", "b"], "left_semi").withColumn("try", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(TRIES - 1).cast("bigint"))))
@@ -209,27 +210,30 @@ def decide(p: DataFrame, members: DataFrame, cfg: Config, days: int = 7) -> Data
     return step_up(t, "p", cfg.q).withColumnRenamed("passed", "orchestrated")
 
 
-def decide_staged(p: DataFrame, members: DataFrame, residue: DataFrame, cfg: Config, days: int = 7, slices: int = 32) -> DataFrame:
+def decide_staged(p: DataFrame, members: DataFrame, residue: DataFrame, cfg: Config, days: int = 7, slices: int = 32, residue_peers: bool = False) -> DataFrame:
     """The whole test: decide() with p refined in both nulls, peers of the members' countries, and residue left out.
 
     ``residue`` (camp) lists campaigns whose members converge on one destination:
     they are not tested, enter no correction, and their sources are nobody's
-    peers. They stand in the result with p = 1. The pairs lie in ``slices`` files,
+    peers (``residue_peers`` admits them). They stand in the result with p = 1. A
+    source may be in several campaigns. The pairs lie in ``slices`` files,
     as draws multiply each row up to ``draws3`` times.
     """
     bad = stage(members.join(residue.select("camp"), "camp", "left_semi"), "residue")
-    p, tested = stage(p.join(bad, "src", "left_anti"), "peers"), stage(members.join(bad.select("camp").distinct(), "camp", "left_anti"), "tested")
+    p, tested = stage(p if residue_peers else p.join(bad, "src", "left_anti"), "peers"), stage(members.join(bad.select("camp").distinct(), "camp", "left_anti"), "tested")
     pairs = stage(member_pairs(tested, cfg.pairs, cfg.seed).repartition(slices), "pairs")
     obs = stage(coactivity(pairs, p), "coactivity")
     test = stage(peer_counts(p, tested, cfg.peer_ratio), "counts")
     tiers = stage(peer_tiers(p, tested, cfg.min_pool, country=True), "tiers")
-    draws, screens = [cfg.draws, cfg.draws2, cfg.draws3], [cfg.screen2, cfg.screen3]
+    draws, screens = [cfg.draws, *[x for x in (cfg.draws2, cfg.draws3) if x]], [y for x, y in ((cfg.draws2, cfg.screen2), (cfg.draws3, cfg.screen3)) if x]
     rot = refine(lambda x, o, b, seed: rotation_null(x, p, o, b, days, seed), pairs, obs, "rot", draws, screens, cfg.seed)
     fit = test.filter("testable").select("camp")
     pop = refine(lambda x, o, b, seed: population_null(x, p, tested, tiers, o, b, seed), pairs.join(fit, "camp", "left_semi"), obs.join(fit, "camp", "left_semi"), "pop", draws, screens, cfg.seed)
     t = test.join(obs, "camp", "left").join(rot, "camp", "left").join(pop, "camp", "left").withColumn("residue", F.lit(False))
     t = t.fillna(1.0, ["p_rot", "p_pop"]).fillna(0.0, ["coact", "z_rot", "z_pop"]).withColumn("p", F.greatest("p_rot", "p_pop"))
-    out = step_up(t, "p", cfg.q).withColumnRenamed("passed", "orchestrated").select("camp", "residue", "testable", "coact", "p_rot", "z_rot", "p_pop", "z_pop", "p", "orchestrated")
-    one, none = F.lit(1.0), F.lit(0.0)
-    left = bad.select("camp").distinct().select("camp", F.lit(True).alias("residue"), F.lit(False).alias("testable"), none.alias("coact"), one.alias("p_rot"), none.alias("z_rot"), one.alias("p_pop"), none.alias("z_pop"), one.alias("p"), F.lit(False).alias("orchestrated"))
+    t = t.withColumn("z", F.least("z_rot", "z_pop"))
+    out = step_up(step_up(t, "p", cfg.q).withColumnRenamed("passed", "orchestrated"), "p_rot", cfg.q).withColumnRenamed("passed", "orchestrated_rot")
+    out = out.select("camp", "residue", "testable", "coact", "p_rot", "z_rot", "p_pop", "z_pop", "p", "z", "orchestrated", "orchestrated_rot")
+    one, none, no = F.lit(1.0), F.lit(0.0), F.lit(False)
+    left = bad.select("camp").distinct().select("camp", F.lit(True).alias("residue"), no.alias("testable"), none.alias("coact"), one.alias("p_rot"), none.alias("z_rot"), one.alias("p_pop"), none.alias("z_pop"), one.alias("p"), none.alias("z"), no.alias("orchestrated"), no.alias("orchestrated_rot"))
     return out.unionByName(left)

@@ -194,7 +194,7 @@ BIN = "CASE WHEN nact <= 1 THEN 0 WHEN nact <= 3 THEN 1 WHEN nact <= 7 THEN 2 WH
 PEERS = f"""tp AS (SELECT camp, port, m FROM (SELECT camp, top1 AS port, row_number() OVER (PARTITION BY camp ORDER BY count(*) DESC, top1) AS r, sum(count(*)) OVER (PARTITION BY camp) AS m FROM members JOIN prof USING (src) GROUP BY camp, top1) WHERE r = 1),
 pc AS (SELECT tp.camp, port, m, count(*) AS peers FROM tp JOIN prof ON top1 = port WHERE NOT EXISTS (SELECT 1 FROM members WHERE members.camp = tp.camp AND members.src = prof.src) GROUP BY ALL)"""
 #: Peers of a stratum: its first tier with enough of them, then tries of a drawn place among the tier's sources by (bin, src mod 64, src).
-PB = f"pb AS (SELECT src, top1, cc, words, {BIN} AS bin FROM prof), pm AS (SELECT pb.*, members.camp AS pcamp FROM pb LEFT JOIN members USING (src))"
+PB = f"pb AS (SELECT src, top1, cc, words, {BIN} AS bin FROM prof)"
 
 
 def tiers_sql(least: int, country: bool = False) -> str:
@@ -203,7 +203,7 @@ def tiers_sql(least: int, country: bool = False) -> str:
     if country:
         near = [f"CASE WHEN same AND dd = {d} THEN {k} END" for d, k in ((0, -3), (-1, -2), (1, -1))] + ["CASE WHEN same THEN 0 END"] + near
     return f"""{PEERS}, {PB}, mine AS (SELECT DISTINCT members.camp, {own}bin, port FROM members JOIN pb USING (src) JOIN tp USING (camp)),
-cand AS (SELECT mine.camp, {'mine.cc, ' if country else ''}mine.bin, pm.src AS peer, pm.bin AS pbin, coalesce(pm.pcamp = mine.camp, false) AS own, pm.bin - mine.bin AS dd{', pm.cc = mine.cc AS same' if country else ''} FROM mine JOIN pm ON pm.top1 = port),
+cand AS (SELECT mine.camp, {'mine.cc, ' if country else ''}mine.bin, pb.src AS peer, pb.bin AS pbin, mm.src IS NOT NULL AS own, pb.bin - mine.bin AS dd{', pb.cc = mine.cc AS same' if country else ''} FROM mine JOIN pb ON pb.top1 = port LEFT JOIN members mm ON mm.camp = mine.camp AND mm.src = pb.src),
 tiers AS (SELECT camp, {own}bin, peer, pbin, own, unnest(list_filter([{', '.join(near)}], lambda x: x IS NOT NULL)) AS tier FROM cand),
 pick AS (SELECT camp, {own}bin, min(tier) AS tier, arg_min(n, tier) AS n FROM (SELECT camp, {own}bin, tier, count(*) FILTER (WHERE NOT own) AS n FROM tiers GROUP BY ALL) WHERE n >= {least} OR tier = 5 GROUP BY camp, {own}bin),
 pools AS (SELECT camp, {own}bin, peer, own, row_number() OVER (PARTITION BY camp, {own}bin ORDER BY pbin, peer % 64, peer) - 1 AS r, count(*) OVER (PARTITION BY camp, {own}bin) AS total FROM tiers SEMI JOIN pick USING (camp, {own}bin, tier))"""
@@ -461,11 +461,6 @@ def hdbscan_modes(spark, d):
     return cluster.modes(x, ["duty", "pph", "fano", "lpk", "nports"], "key", CFG)
 
 
-def entry(spark: SparkSession, d: str) -> DataFrame:
-    """The flagship: decisions for the campaigns of a week."""
-    return campaign_decisions(spark, d)
-
-
 # ---------------------------------------------------------------- country tiers, staged tests
 #: The test tables have few sources of one country on a port, so its tiers need fewer.
 CC_LEAST = 2
@@ -514,7 +509,7 @@ def staged_rotation_p(spark, d):
 def campaign_decisions_staged(spark, d):
     p, m = blocked(spark, d)
     residue = campaigns.residue(src.event_flows(spark, d), m, CFG.residue_members, CFG.residue).filter("residue")
-    return rounded(synchrony.decide_staged(p, m, residue, SMALL_STAGED).drop("z_rot", "z_pop"))
+    return rounded(synchrony.decide_staged(p, m, residue, SMALL_STAGED).drop("z_rot", "z_pop", "z", "orchestrated_rot"))
 
 
 # ---------------------------------------------------------------- intervals, sentences, packets

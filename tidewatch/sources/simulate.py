@@ -50,6 +50,7 @@ class Scenario:
     stagger: int = 0
     background: int = 0
     residue: int = 0
+    quiet: int = 0
     d_bits: int = 19
     d0: int = 591396864
     seed: int = 1
@@ -86,7 +87,7 @@ def bots(spark: SparkSession, s: Scenario) -> DataFrame:
     """The truth: (src, camp, tool, strategy, orchestrated, residue, cc, asn) for each simulated source; camp is -1 in the background, whose tool and strategy are drawn for each source."""
     ids = spark.range(s.campaigns * s.bots).select(F.floor(F.col("id") / s.bots).alias("camp"), (F.col("id") % s.bots).alias("bot"))
     own = ids.select((F.col("camp") * 4096 + F.col("bot") + BASE).alias("src"), "camp", (F.col("camp") % len(TOOLS)).alias("tool"), (F.floor(F.col("camp") / 2) % 4).alias("strat"))
-    n = len(TOOLS) * s.background
+    n = (len(TOOLS) - s.quiet) * s.background
     far = spark.range(max(n, 0)).select((F.floor(F.col("id") / max(1, s.background)) * 4096 + F.col("id") % max(1, s.background) + BASE + 4096 * 100).alias("src"), F.lit(-1).cast("bigint").alias("camp"))
     far = far.select("src", "camp", _draw("tool", s.seed, len(TOOLS), F.col("src")).alias("tool"), _draw("strategy", s.seed, 4, F.col("src")).alias("strat"))
     every = own.unionByName(far)
@@ -100,7 +101,7 @@ def bots(spark: SparkSession, s: Scenario) -> DataFrame:
 def bots_sql(s: Scenario) -> str:
     case = lambda at, xs: f"[{', '.join(repr(x) for x in xs)}][({at}) + 1]"
     return f"""sim_ids AS (SELECT {BASE}::BIGINT + (i // {s.bots}) * 4096 + i % {s.bots} AS src, i // {s.bots} AS camp FROM (SELECT unnest(range(0, {s.campaigns * s.bots})) AS i)
- UNION ALL SELECT {BASE}::BIGINT + 4096 * 100 + (i // {max(1, s.background)}) * 4096 + i % {max(1, s.background)}, -1 FROM (SELECT unnest(range(0, {len(TOOLS) * s.background})) AS i)),
+ UNION ALL SELECT {BASE}::BIGINT + 4096 * 100 + (i // {max(1, s.background)}) * 4096 + i % {max(1, s.background)}, -1 FROM (SELECT unnest(range(0, {(len(TOOLS) - s.quiet) * s.background})) AS i)),
 sim_pick AS (SELECT src, camp, CASE WHEN camp >= 0 THEN camp % {len(TOOLS)} ELSE {_draw_sql('tool', s.seed, len(TOOLS), 'src')} END AS tool, CASE WHEN camp >= 0 THEN (camp // 2) % 4 ELSE {_draw_sql('strategy', s.seed, 4, 'src')} END AS strat FROM sim_ids),
 bots AS (SELECT src, camp, tool, {case('strat', STRATEGIES)} AS strategy, camp >= 0 AND camp % 2 = 0 AND camp < {s.campaigns - s.residue} AS orchestrated, camp >= {s.campaigns - s.residue} AS residue,
  {case(_draw_sql('cc', s.seed, 10, 'src'), COUNTRIES)} AS cc, {_draw_sql('asn', s.seed, 25, 'src')} + 1000 + 100 * greatest(camp, 0) AS asn FROM sim_pick)"""
