@@ -1,8 +1,8 @@
 """Language ID: script ranges narrow the candidates, then Viterbi over per-word scores with a switching penalty labels spans.
 
 A word's score in a language is the log likelihood of its hashed byte trigrams.
-Its script, told from UTF-8 lead bytes, leaves only languages that were seen in
-that script. Viterbi runs over all words of a text at once: words are cut into
+Its script, told from the ranges of its code points, leaves only languages that
+were seen in that script. Viterbi runs over all words of a text at once: words are cut into
 segments, each segment's best paths from every entry label are found side by
 side, segments are chained, and the path is read back. So a text of any length
 costs its words, and long texts don't hold up short ones.
@@ -22,9 +22,37 @@ from . import _common as c
 
 BITS, SAMPLE, LANGUAGES, SWITCH, SEGMENT = 14, 4000, 200, 12.0, 128
 HELD = (3, 1)
-#: Scripts by UTF-8 lead byte: (first, last, script). Fixed values.
-LEADS = ((0x41, 0x5A, 1), (0x61, 0x7A, 1), (0xC2, 0xC9, 1), (0xCD, 0xCF, 2), (0xD0, 0xD4, 3), (0xD5, 0xD5, 4), (0xD6, 0xD7, 5), (0xD8, 0xDF, 6), (0xE0, 0xE0, 7), (0xE1, 0xE2, 1), (0xE3, 0xE3, 8), (0xE4, 0xE9, 9), (0xEA, 0xED, 10), (0xEE, 0xF4, 11))
-SCRIPTS = 12
+#: Script of the code points from each value on, up to the next; "" for digits, marks and symbols. Fixed values, from the blocks of Unicode.
+RANGES = (
+    (0x00, ""), (0x41, "Latin"), (0x5B, ""), (0x61, "Latin"), (0x7B, ""), (0xAA, "Latin"), (0xAB, ""), (0xB5, "Greek"), (0xB6, ""), (0xBA, "Latin"), (0xBB, ""), (0xC0, "Latin"), (0xD7, ""), (0xD8, "Latin"), (0xF7, ""), (0xF8, "Latin"),
+    (0x300, ""), (0x370, "Greek"), (0x400, "Cyrillic"), (0x530, "Armenian"), (0x590, "Hebrew"), (0x600, "Arabic"), (0x700, "Syriac"), (0x750, "Arabic"), (0x780, "Thaana"), (0x7C0, "Nko"), (0x800, "Other"), (0x870, "Arabic"),
+    (0x900, "Devanagari"), (0x980, "Bengali"), (0xA00, "Gurmukhi"), (0xA80, "Gujarati"), (0xB00, "Oriya"), (0xB80, "Tamil"), (0xC00, "Telugu"), (0xC80, "Kannada"), (0xD00, "Malayalam"), (0xD80, "Sinhala"), (0xE00, "Thai"), (0xE80, "Lao"), (0xF00, "Tibetan"),
+    (0x1000, "Myanmar"), (0x10A0, "Georgian"), (0x1100, "Hangul"), (0x1200, "Ethiopic"), (0x13A0, "Cherokee"), (0x1400, "Canadian"), (0x1680, "Other"), (0x1780, "Khmer"), (0x1800, "Mongolian"), (0x18B0, "Canadian"), (0x1900, "Other"), (0x1C80, "Cyrillic"),
+    (0x1C90, "Georgian"), (0x1CC0, "Other"), (0x1D00, "Latin"), (0x1DC0, ""), (0x1E00, "Latin"), (0x1F00, "Greek"), (0x2000, ""), (0x2071, "Latin"), (0x2072, ""), (0x207F, "Latin"), (0x2080, ""), (0x2090, "Latin"), (0x20A0, ""), (0x2100, "Latin"), (0x2190, ""),
+    (0x2C00, "Other"), (0x2C60, "Latin"), (0x2C80, "Greek"), (0x2D00, "Georgian"), (0x2D30, "Tifinagh"), (0x2D80, "Ethiopic"), (0x2DE0, "Cyrillic"), (0x2E00, ""), (0x2E2F, "Latin"), (0x2E30, ""), (0x2E80, "Han"), (0x2FE0, ""), (0x3005, "Han"), (0x3008, ""),
+    (0x3021, "Han"), (0x302A, ""), (0x3031, "Kana"), (0x3036, ""), (0x3038, "Han"), (0x303D, ""), (0x3041, "Kana"), (0x3100, "Bopomofo"), (0x3130, "Hangul"), (0x3190, ""), (0x31A0, "Bopomofo"), (0x31C0, ""), (0x31F0, "Kana"), (0x3200, ""), (0x3400, "Han"),
+    (0x4DC0, ""), (0x4E00, "Han"), (0xA000, "Yi"), (0xA4D0, "Other"), (0xA640, "Cyrillic"), (0xA6A0, "Other"), (0xA720, "Latin"), (0xA800, "Other"), (0xA8E0, "Devanagari"), (0xA900, "Other"), (0xA960, "Hangul"), (0xA980, "Other"), (0xA9E0, "Myanmar"), (0xAA00, "Other"),
+    (0xAA60, "Myanmar"), (0xAA80, "Other"), (0xAB00, "Ethiopic"), (0xAB30, "Latin"), (0xAB70, "Cherokee"), (0xABC0, "Other"), (0xAC00, "Hangul"), (0xD800, ""), (0xF900, "Han"), (0xFB00, "Latin"), (0xFB13, "Armenian"), (0xFB1D, "Hebrew"), (0xFB50, "Arabic"), (0xFE00, ""),
+    (0xFE70, "Arabic"), (0xFEFF, ""), (0xFF21, "Latin"), (0xFF3B, ""), (0xFF41, "Latin"), (0xFF5B, ""), (0xFF66, "Kana"), (0xFFA0, "Hangul"), (0xFFE0, ""), (0x10000, "Other"), (0x1B000, "Kana"), (0x1B170, "Other"), (0x1D400, "Latin"), (0x1D800, "Other"), (0x1F000, ""),
+    (0x20000, "Han"), (0x323B0, ""),
+)
+NAMES = ["", *sorted({s for _, s in RANGES if s})]
+SCRIPTS = len(NAMES)
+
+
+def scripts_of(data: np.ndarray) -> np.ndarray:
+    """The script (its place in NAMES) of the character that begins at each byte; 0 at other bytes."""
+    starts, names = np.array([x for x, _ in RANGES]), np.array([NAMES.index(s) for _, s in RANGES], np.int8)
+    out = names[np.searchsorted(starts, np.arange(256), "right") - 1]
+    out[128:] = 0
+    out = out[data]
+    at = np.flatnonzero(data >= 0xC0)
+    if len(at):
+        b = np.r_[data, np.zeros(3, np.uint8)].astype(np.int32)
+        x, y, z, w = b[at], b[at + 1] & 63, b[at + 2] & 63, b[at + 3] & 63
+        point = np.where(x < 0xE0, (x & 31) << 6 | y, np.where(x < 0xF0, (x & 15) << 12 | y << 6 | z, (x & 7) << 18 | y << 12 | z << 6 | w))
+        out[at] = names[np.searchsorted(starts, point, "right") - 1]
+    return out
 
 
 def words_of(off: np.ndarray, data: np.ndarray):
@@ -33,11 +61,8 @@ def words_of(off: np.ndarray, data: np.ndarray):
     h = c.span_hashes(data, starts, ends, c.byte_values(lower=True))
     u, at, ids = np.unique(h, return_index=True, return_inverse=True)
     owner, grams = c.ngram_ids(data, starts[at], ends[at], 3, BITS)
-    lead = np.zeros(256, np.int8)
-    for a, b, s in LEADS:
-        lead[a : b + 1] = s
     size = ends[at] - starts[at]
-    kinds = lead[data]
+    kinds = scripts_of(data)
     span = np.stack([starts[at], ends[at]], 1).ravel() if len(at) else np.zeros(0, np.int64)
     script = np.maximum.reduceat(np.r_[kinds, np.int8(0)], span)[::2] if len(at) else kinds[:0]
     return first, ids, owner, grams, size, script
@@ -119,9 +144,11 @@ class Model:
         for _, _, off, data in c.chunks(texts, 2 * c.CHUNK):
             first, ids, owner, grams, size, script = words_of(off, data)
             path = self.path(first, self.scores(owner, grams, len(size), script), ids)
-            weight = np.where(script > 0, size, 0)[ids]
             n = len(off) - 1
             doc = np.repeat(np.arange(n), np.diff(first))
+            weight = np.where(script > 0, size, 0)[ids]
+            bare = np.bincount(doc, weight, n)[doc] == 0
+            weight = np.where(bare, size[ids], weight)  # letters of no range listed: their words count all the same
             mass = np.bincount(doc * len(self.names) + path, weight, n * len(self.names)).reshape(n, -1)
             best, total = mass.argmax(1), mass.sum(1)
             cut = np.flatnonzero(np.r_[True, (path[1:] != path[:-1]) | (doc[1:] != doc[:-1])]) if len(path) else np.zeros(0, np.int64)
@@ -175,7 +202,8 @@ def label_documents(docs: DataFrame, model: Model | None) -> DataFrame:
     ``und``, score 0 and no spans where the text is null or has no letter, or
     nothing was learned. Spans are (first word, words, lang), words being runs of
     letters and digits. Repeated rows get equal results; a tie goes to the first
-    language by name; a null doc_id is labelled like any other.
+    language by name; a null doc_id is labelled like any other. Letters outside
+    all ranges are labelled by their trigrams alone.
     """
     known = docs.sparkSession.sparkContext.broadcast(model)
 
