@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from . import _common as c
 
 MIN_WORDS, NEAR_WORDS = 3, 8
-#: Documents with dropped lines that are broadcast at most; more are joined by a shuffle.
-LISTED = 2_000_000
+#: Bytes of a list of documents' lines that are broadcast at most, a document and a line counted as below; larger lists are joined by a shuffle.
+LISTED, PER_DOC, PER_LINE = 64_000_000, 120, 4
 
 
 class Lines:
@@ -151,7 +151,7 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int =
     near = half.join(many, "key", "left_semi").select("line").distinct()
     near = c.cut(uniq.select("line", "o").join(near, "line", "left_semi"), "near")
     wanted = near.groupBy("o.doc_id", "o.h").agg(F.collect_set("o.no").alias("lines"))
-    wanted = F.broadcast(wanted) if near.count() <= LISTED else wanted
+    wanted = F.broadcast(wanted) if near.count() * (PER_DOC + PER_LINE) <= LISTED else wanted
     texts = docs.alias("d").join(wanted.alias("w"), (F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))) & (F.col("d.h") == F.col("w.h"))).select("d.text", "w.lines")
     var = c.cut(variants(texts), "variants")
     rows = var.select("key", "role", "line").join(near, "line").select("key", "role", "line", "o")
@@ -170,18 +170,23 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int =
     return out
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS, names: tuple[str, str] = ("n_lines", "gone")) -> DataFrame:
     """docs with any columns, doc_id and text among them -> the same rows with text without the lines that go, and n_lines, gone.
 
+    ``names`` are those of the two new columns; columns of docs so named are replaced.
+
     Lines end at newlines. Nulls: a null text stays null and has no lines; a null
     doc_id comes before all others. Rows that repeat doc_id and text are one
     document's and get the same result. Empty texts and tables pass through.
     """
-    held = docs.withColumn("tw_h", F.xxhash64("text"))
-    gone = dropped_lines(held.select("doc_id", F.col("tw_h").alias("h"), "text"), min_words, near_words)
-    few = F.broadcast(gone) if gone.count() <= LISTED else gone
-    both = held.alias("d").join(few.alias("g"), (F.col("d.doc_id").eqNullSafe(F.col("g.doc_id"))) & (F.col("d.tw_h") == F.col("g.h")), "left")
-    both = both.select("d.*", F.coalesce("g.gone", F.array().cast("array<int>")).alias("tw_gone")).withColumn("tw_lines", F.split("text", "\n"))
-    left = F.array_join(F.filter("tw_lines", lambda x, i: ~F.array_contains("tw_gone", i)), "\n")
-    out = both.withColumn("text", F.when(F.size("tw_gone") > 0, left).otherwise(F.col("text")))
-    return out.select(*docs.columns, F.coalesce(F.size("tw_lines"), F.lit(0)).alias("n_lines"), F.col("tw_gone").alias("gone"))
+    gone = dropped_lines(docs.select("doc_id", F.xxhash64("text").alias("h"), "text"), min_words, near_words)
+    size = gone.agg(F.count("*") * PER_DOC + F.coalesce(F.sum(F.size("gone")), F.lit(0)) * PER_LINE).first()[0]
+    few = F.broadcast(gone) if size <= LISTED else gone
+    own = [f"c{i}" for i in range(len(docs.columns))]  # names of our own while two more columns are there
+    name = dict(zip([x.lower() for x in docs.columns], own, strict=True))
+    doc_id, text = F.col(name["doc_id"]), F.col(name["text"])
+    both = docs.toDF(*own).join(few.select(F.col("doc_id").alias("g_id"), F.col("h").alias("g_h"), "gone"), doc_id.eqNullSafe(F.col("g_id")) & (F.xxhash64(text) == F.col("g_h")), "left")
+    gone = F.coalesce("gone", F.array().cast("array<int>"))
+    left = F.when(F.size(gone) > 0, F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n")).otherwise(text)
+    kept = [left.alias(x) if x.lower() == "text" else F.col(k).alias(x) for x, k in zip(docs.columns, own, strict=True) if x.lower() not in names]
+    return both.select(*kept, F.coalesce(F.regexp_count(text, F.lit("\n")) + 1, F.lit(0)).alias(names[0]), gone.alias(names[1]))
