@@ -9,6 +9,7 @@ to encoding the whole word, with far fewer distinct pieces to merge and cache.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 
@@ -19,6 +20,8 @@ from . import _common as c
 
 #: Entries of each of a worker's caches, which start anew beyond that.
 CACHED = 300_000
+#: Symbols of a fragment from which pairs are kept in a heap.
+LONG = 100
 
 
 def byte_symbols() -> dict[int, str]:
@@ -76,6 +79,8 @@ class Codec:
 
     def merge(self, symbols: tuple[str, ...]) -> tuple[int, ...]:
         """Ids of one fragment: the pair of lowest rank, the leftmost on ties, merges until none is left."""
+        if len(symbols) > LONG:
+            return self.merge_long(symbols)
         s, rank, none = list(symbols), self.ranks.get, 1 << 60
         r = [rank(p, none) for p in zip(s, s[1:], strict=False)]
         while r and (least := min(r)) < none:
@@ -88,6 +93,26 @@ class Codec:
                 r[k] = rank((s[k], s[k + 1]), none)
         return tuple(self.vocab[x] for x in s if x in self.vocab)
 
+    def merge_long(self, symbols: tuple[str, ...]) -> tuple[int, ...]:
+        """merge() for long fragments: pairs wait in a heap, symbols are a linked list, so n symbols take n log n steps."""
+        s, rank, n = list(symbols), self.ranks.get, len(symbols)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, k, s[k], s[k + 1]) for k in range(n - 1) if (r := rank((s[k], s[k + 1]))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, k, x, y = heapq.heappop(heap)
+            j = after[k]
+            if s[k] != x or j >= n or s[j] != y:
+                continue  # one of the two has merged since
+            s[k], s[j] = x + y, ""
+            after[k] = after[j]
+            if after[j] < n:
+                before[after[j]] = k
+            for a in (before[k], k):
+                if a >= 0 and after[a] < n and (r := rank((s[a], s[after[a]]))) is not None:
+                    heapq.heappush(heap, (r, a, s[a], s[after[a]]))
+        return tuple(self.vocab[x] for x in s if x in self.vocab)
+
     def word(self, word: str) -> tuple[str, str, int]:
         """(ids, names, count) of a word, ids and names each with a space before."""
         symbols = list(word.encode().decode("latin-1").translate(self.table))
