@@ -314,3 +314,23 @@ def test_every_source_is_numbered_once(spark):
     p = spark.range(500).select(F.col("id").alias("src"), (F.col("id") % 3).alias("port"))
     got = synchrony.numbered(p, ["port"]).groupBy("port").agg(F.count_distinct("r").alias("n"), F.min("r").alias("lo"), F.max("r").alias("hi")).collect()
     assert all((r.n, r.lo, r.hi) == (r.hi + 1, 0, r.hi) for r in got)
+
+
+def test_intervals_and_paired_tests(spark):
+    from tidewatch.operators import experiments
+
+    assert experiments.t_quantile(0.975, 9) == pytest.approx(2.262157, abs=1e-6) and experiments.t_quantile(0.975, 1) == pytest.approx(12.7062, abs=1e-3)
+    assert experiments.signed_rank(np.array([1.0, 2, 3, 4, 5, 6])) == (0.0, 0.03125) and experiments.signed_rank(np.zeros(3)) == (0.0, 1.0)
+    a = spark.createDataFrame([(i, "a", float(i * i)) for i in range(10)] + [(i, "b", float(i)) for i in range(12)], "seed long, variant string, v double")
+    r = experiments.paired(a.filter("variant = 'a'"), a.filter("variant = 'b'"), "seed", "v").first()
+    assert (r.runs, r.w) == (10, 0.0) and r.p == pytest.approx(2 / 2**8)
+    got = {x.variant: x for x in experiments.mean_interval(a, ["variant"], "v").collect()}
+    v = np.arange(10.0) ** 2
+    assert got["a"].mean == v.mean() and got["a"].half == pytest.approx(2.262157 * v.std(ddof=1) / 10**0.5, rel=1e-6)
+
+
+def test_sample_document_has_six_shapes(spark):
+    rows = plans.QUERIES["sample_document"](spark, SF).collect()
+    assert sorted(r.id for r in rows) == list(range(1, 13)) and all(r.points == 40 and r.peak > 0 for r in rows) and {r.state for r in rows} == {"orchestrated", "independent", "undetermined"}
+    burst = [r for r in rows if r.id % 6 == 3]
+    assert all(r.last_h - r.first_h == 11 for r in burst)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..config import Config
+from ..functions import scalar
 from .stage import stage
 
 
@@ -136,7 +137,7 @@ def split(rows: DataFrame, features: list[str], cfg: Config) -> DataFrame:
     the nearest one within reach in a plain join, block by block of rows, so a block
     with a third of all sources is never gathered in one task.
     """
-    order = F.pmod(F.col("src") * 7919 + cfg.seed, F.lit(2147483647))
+    order = scalar.draw(F.col("src") * 7919 + cfg.seed, scalar.M31)
     ranked = rows.withColumn("k", F.row_number().over(W.partitionBy("key").orderBy(order, "src")))
     size = rows.groupBy("key").agg(F.count("*").alias("n"))
     fit = ranked.filter(F.col("k") <= cfg.fit_cap).drop("k").join(size, "key")

@@ -141,3 +141,40 @@ def padded_range(rows: DataFrame, value: str) -> DataFrame:
 def agrees(p: Column, verdict: Column) -> Column:
     """MX8: whether a probability of coordination (0.5 or more) says what the test says; null where either is missing."""
     return F.when(p.isNotNull() & verdict.isNotNull(), (p >= 0.5) == verdict)
+
+
+def sampled_hours(activity: Column, n: int, key: Column, seed: int = 5) -> Column:
+    """WN14: n hours drawn in proportion to an array of hourly activity: the first hour whose cumulative share reaches a draw."""
+    total = F.aggregate(activity, F.lit(0.0), lambda t, x: t + x)
+    cum = F.transform(activity, lambda x, h: F.aggregate(F.slice(activity, F.lit(1), h + 1), F.lit(0.0), lambda t, y: t + y))
+    draws = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (scalar.draw(key * 7919 + i.cast("bigint") * 104729 + seed, 999983) + 0.5) / 999983 * total)
+    return F.when(total > 0, scalar.let(cum, lambda c: F.transform(draws, lambda u: F.size(F.filter(c, lambda x: x < u)).cast("bigint"))))
+
+
+def service(port: Column) -> Column:
+    """SC32: the service that a port stands for."""
+    names = {"telnet": (23, 2323), "ssh": (22,), "web": (80, 81, 443, 8080, 8443, 8888), "smb": (139, 445), "sip": (5060,), "database": (1433, 3306, 6379, 9200, 27017), "remote desktop": (3389, 5900)}
+    out = F.when(F.lit(False), F.lit(""))
+    for name, ports in names.items():
+        out = out.when(port.isin(*ports), name)
+    return out.otherwise("other")
+
+
+def sample_document(spark, campaigns: int = 12, hours: int = 168, seed: int = 1) -> DataFrame:  # noqa: ANN001
+    """SRC17: a made-up replay document, one row of readers.DOCUMENT's main fields: campaigns of six shapes of activity in turn (always on, waves, ramp, burst, daily, decay), with countries and points, and hourly totals. Every draw is reproducible."""
+    d = lambda salt, n, b=0: scalar.draw(F.col("id") * 7919 + (F.lit(b) if isinstance(b, int) else b).cast("bigint") * 104729 + salt * 1_000_003 + seed, n)
+    x = spark.range(1, campaigns + 1).withColumn("bots", d(1, 900) + 20).withColumn("start", d(2, hours - 24))
+    t = lambda h: h.cast("double")
+    shapes = (lambda h: F.lit(0.85), lambda h: (1 + F.sin(t(h) * 2 * 3.141592653589793 / 48)) / 2, lambda h: t(h) / hours, lambda h: F.when(h.between(F.col("start"), F.col("start") + 11), 1.0).otherwise(0.0), lambda h: (1 + F.cos((t(h) % 24 - 14) * 2 * 3.141592653589793 / 24)) / 2, lambda h: F.exp(-t(h) / 40))
+    shape = lambda h: F.element_at(F.array(*[s(h) for s in shapes]), (F.col("id") % 6 + 1).cast("int"))
+    x = x.withColumn("activity", F.transform(F.sequence(F.lit(0), F.lit(hours - 1)), lambda h: F.round(F.col("bots") * shape(h) * (0.9 + d(3, 1000, h) / 5000.0))))
+    share = {c: d(4, 90, i) + 10 for i, c in enumerate(("US", "CN", "BR", "VN"))}
+    x = x.withColumn("countries", F.create_map(*[y for c, w in share.items() for y in (F.lit(c), (F.col("bots") * w / 400.0).cast("double"))])).withColumn("at", sampled_hours(F.col("activity"), 40, F.col("id"), seed))
+    points = F.array_sort(F.transform("at", lambda h, i: F.array(h.cast("double") + d(5, 1000, i) / 1000.0, d(6, 100_000, i) / 100_000.0)))
+    some = F.transform("activity", lambda v, h: F.when(v > 0, h))
+    one = F.struct(F.col("id").cast("double").alias("id"), F.col("bots").cast("double").alias("bots"), F.element_at(F.array(*[F.lit(p) for p in ("23", "443", "22", "5060")]), (F.col("id") % 4 + 1).cast("int")).alias("port"), F.when(F.col("id") % 4 == 3, "UDP").otherwise("TCP").alias("proto"),
+                   F.when(F.col("id") % 3 == 0, F.lit(None).cast("boolean")).otherwise(F.col("id") % 3 == 1).alias("orchestrated"), F.array_min(some).cast("double").alias("first_h"), F.array_max(some).cast("double").alias("last_h"), "activity", "countries", points.alias("points"))
+    x = x.select("id", one.alias("c"), "activity")
+    total = x.select(F.posexplode("activity").alias("h", "v")).groupBy("h").agg(F.sum("v").alias("v")).agg(F.array_sort(F.collect_list(F.struct(F.col("h").cast("double").alias("h"), (F.col("v") * 6).alias("records"), F.col("v").alias("sources")))).alias("hourly"))
+    camps = x.agg(F.array_sort(F.collect_list(F.struct("id", "c")), lambda a, b: (a["id"] - b["id"]).cast("int")).alias("l")).select(F.transform("l", lambda y: y["c"]).alias("campaigns"))
+    return total.crossJoin(camps).select(F.struct(F.lit("Sample").alias("title"), F.lit(float(hours)).alias("hours"), F.lit(True).alias("synthetic")).alias("meta"), "hourly", "campaigns")

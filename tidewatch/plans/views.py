@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import decisions, embedding, external, inference, reduction, replay, sentences, synchrony
+from ..operators import decisions, embedding, experiments, external, inference, reduction, replay, sentences, synchrony
 from ..operators.stage import folder, stage
 from ..sinks import writers
 from ..sources import flows, readers, simulate
@@ -341,3 +341,32 @@ def text_round_trip(spark, d):
 def profile_metrics(spark, d):
     """SNK7, SC31: metrics as names and texts."""
     return writers.metrics(profiled(spark, d).agg(F.count("*").alias("sources"), F.sum("nrec").alias("records"), F.count_distinct("portsig").alias("campaign_ports"), F.avg("duty").alias("duty")))
+
+
+# ---------------------------------------------------------------- experiment grids, samples
+@query("grid_means", "SELECT c_mktsegment AS setting, count(*) AS runs, round(avg(c_acctbal), 4) AS mean, round(stddev_samp(c_acctbal), 4) AS sd FROM customer GROUP BY c_mktsegment")
+def grid_means(spark, d):
+    """AG22."""
+    g = experiments.grid(flows.load(spark, d, "customer").withColumnRenamed("c_mktsegment", "setting"), ["setting"], ["c_acctbal"])
+    return rounded(g.select("setting", "runs", F.round("c_acctbal_mean", 4).alias("mean"), F.round("c_acctbal_sd", 4).alias("sd")))
+
+
+@query("activity_samples", f"WITH {CAMPS}, a AS (SELECT camp, h, count(*)::DOUBLE AS n FROM members0 JOIN rd USING (src) GROUP BY camp, h), c AS (SELECT camp, h, sum(n) OVER (PARTITION BY camp ORDER BY h) AS cum, sum(n) OVER (PARTITION BY camp) AS total FROM a), u AS (SELECT DISTINCT camp, i, ({scalar.draw_sql('camp * 7919 + i * 104729 + 5', '999983')} + 0.5) / 999983 * total AS u FROM c CROSS JOIN (SELECT unnest(range(0, 8)) AS i)) SELECT camp::BIGINT AS camp, i, min(h) AS h FROM u JOIN c USING (camp) WHERE cum >= u GROUP BY camp, i")
+def activity_samples(spark, d):
+    """WN14: hours drawn in proportion to each campaign's activity."""
+    c = _cards(spark, d)[0].select("camp", F.transform("activity", lambda x: x.cast("double")).alias("a"))
+    return rounded(c.select("camp", F.posexplode(replay.sampled_hours(F.col("a"), 8, F.col("camp"))).alias("i", "h")))
+
+
+@query("port_services", f"WITH {PROF0} SELECT CASE WHEN top1 IN (23, 2323) THEN 'telnet' WHEN top1 = 22 THEN 'ssh' WHEN top1 IN (80, 81, 443, 8080, 8443, 8888) THEN 'web' WHEN top1 IN (139, 445) THEN 'smb' WHEN top1 = 5060 THEN 'sip' ELSE 'other' END AS service, count(*) AS sources FROM prof0 GROUP BY 1")
+def port_services(spark, d):
+    """SC32."""
+    return rounded(profiled(spark, d).groupBy(replay.service(F.col("top1")).alias("service")).agg(F.count("*").alias("sources")))
+
+
+@query("sample_document")
+def sample_document(spark, d):
+    """SRC17: a made-up document, as a viewer's rows."""
+    path = folder(spark, "sample")
+    replay.sample_document(spark).write.mode("overwrite").json(path)
+    return rounded(replay.normalised(readers.read_document(spark, path, readers.DOCUMENT)).select("id", "bots", "port", "state", "first_h", "last_h", "peak_h", "peak", "points"))
