@@ -109,7 +109,7 @@ def normalised(documents: DataFrame) -> DataFrame:
     return d.select(
         "id", F.greatest(F.round(F.coalesce(finite(F.col("c.bots")), F.col("most"))), F.lit(0.0)).cast("bigint").alias("bots"), F.col("c.port").alias("port"), F.upper("c.proto").alias("proto"), F.col("c.tool").alias("tool"), F.col("c.strategy").alias("strategy"), orch.alias("state"), finite(F.col("c.z")).alias("z"), "first_h", "last_h", "det",
         F.when(F.col("most") > 0, F.array_position("activity", F.col("most")) - 1).otherwise(F.lit(-1).cast("bigint")).alias("peak_h"), F.col("most").alias("peak"), span(F.col("first_h"), F.col("last_h"), F.col("H")).alias("span"), F.coalesce(F.size(inside), F.lit(0)).alias("points"),
-        F.lower(F.concat_ws(" ", "c.port", "c.proto", "c.tool", "c.strategy", orch)).alias("search"), F.col("c.openjev").alias("decision"),
+        F.lower(F.concat_ws(" ", "c.port", "c.proto", "c.tool", "c.strategy", orch)).alias("search"), F.col("c.decision").alias("decision"),
     )
 
 

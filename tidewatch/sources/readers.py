@@ -151,4 +151,4 @@ def asked(states: DataFrame, ask: Callable[[str], dict], retries: int = 2, wait:
 DOCUMENT = """meta STRUCT<title: STRING, telescope: STRING, window_start: STRING, hours: DOUBLE, n_profiles: DOUBLE, n_campaigns: DOUBLE, n_orchestrated: DOUBLE, anonymized: BOOLEAN, synthetic: BOOLEAN, note: STRING>,
 hourly ARRAY<STRUCT<h: DOUBLE, records: DOUBLE, sources: DOUBLE>>,
 campaigns ARRAY<STRUCT<id: DOUBLE, bots: DOUBLE, port: STRING, proto: STRING, tool: STRING, strategy: STRING, orchestrated: BOOLEAN, z: DOUBLE, pph_med: DOUBLE, coverage: DOUBLE, first_h: DOUBLE, last_h: DOUBLE, first_detected_h: DOUBLE, asns: DOUBLE,
- fingerprint: MAP<STRING, STRING>, countries: MAP<STRING, DOUBLE>, activity: ARRAY<DOUBLE>, points: ARRAY<ARRAY<DOUBLE>>, openjev: STRUCT<tool: MAP<STRING, DOUBLE>, service: MAP<STRING, DOUBLE>, cls: MAP<STRING, DOUBLE>, coordinated: DOUBLE, severity: MAP<STRING, DOUBLE>>>>"""
+ fingerprint: MAP<STRING, STRING>, countries: MAP<STRING, DOUBLE>, activity: ARRAY<DOUBLE>, points: ARRAY<ARRAY<DOUBLE>>, decision: STRUCT<tool: MAP<STRING, DOUBLE>, service: MAP<STRING, DOUBLE>, cls: MAP<STRING, DOUBLE>, coordinated: DOUBLE, severity: MAP<STRING, DOUBLE>>>>"""
