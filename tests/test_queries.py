@@ -46,9 +46,9 @@ def test_every_week_is_that_of_the_sql(spark, con, name):
 
 @pytest.fixture(scope="module", autouse=True)
 def shared_steps():
-    study.KEPT = {}
+    study.KEPT, plans.KEPT = {}, {}
     yield
-    study.KEPT = None
+    study.KEPT = plans.KEPT = None
 
 
 @pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - ELSEWHERE))

@@ -42,14 +42,24 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+#: Where a caller runs many queries over tables that don't change, a dict here lets them share blocked(). None: every query makes its own.
+KEPT: dict | None = None
+
+
 def profiled(spark: SparkSession, d: str) -> DataFrame:
     return profiles.profile(profiles.accumulate(profiles.reduce_hours(src.event_flows(spark, d))))
 
 
 def blocked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Profiles and members, written once because a query uses them several times."""
+    key = (spark.sparkContext.applicationId, d, src.WEEK.get())
+    if KEPT is not None and key in KEPT:
+        return KEPT[key]
     p = stage(profiled(spark, d), "profiles")
-    return p, stage(campaigns.blocks(p, CFG.min_size), "members")
+    both = p, stage(campaigns.blocks(p, CFG.min_size), "members")
+    if KEPT is not None:
+        KEPT[key] = both
+    return both
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
