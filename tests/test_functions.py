@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -57,6 +58,58 @@ def test_one_synchronised_campaign_of_twenty_passes(spark):
     assert got[0].p == 1 / 10_001 and got[2].residue and got[2].p == 1 and not got[2].testable
 
 
+def drawn(x, n):
+    for _ in range(2):
+        x %= scalar.M31
+        x = (x * x + x * 48271 + 12345) % scalar.M31
+    return x % n
+
+
+def turned(words, hours):
+    x, hours = sum(int(w) << 24 * d for d, w in enumerate(words)), hours % (24 * len(words))
+    return (x << hours | x >> 24 * len(words) - hours) & (1 << 24 * len(words)) - 1
+
+
+@pytest.mark.parametrize(("days", "size"), [(7, 7), (3, 7), (1, 7), (2, 2)])
+def test_rotation_is_that_of_turning_both_members_for_each_draw(spark, days, size):
+    r = np.random.default_rng(days)
+    words = (r.integers(0, 1 << 24, (12, size)) & r.integers(0, 1 << 24, (12, size))).tolist()
+    words[11] = [0] * size
+    pair = [(i // 6, i, j) for i in range(12) for j in range(i + 1, 12) if i // 6 == j // 6]
+    p, pairs = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "src long, words array<int>"), spark.createDataFrame(pair, "camp int, a long, b long")
+    null = synchrony.rotation_null(pairs, p, synchrony.coactivity(pairs, p), 60, days, 7)
+    like = lambda x, y: (x & y).bit_count() / (x | y).bit_count() if x | y else 0.0
+    unit, n = (24, days) if days >= 2 else (1, 24)
+    off = lambda s, b: drawn(s * 7919 + b * 104729 + 7, n) * unit
+    for row in null.collect():
+        mine = [(a, c) for camp, a, c in pair if camp == row.camp]
+        obs = np.mean([like(turned(words[a], 0), turned(words[c], 0)) for a, c in mine])
+        t = np.array([np.mean([like(turned(words[a], off(a, b)), turned(words[c], off(c, b))) for a, c in mine]) for b in range(1, 61)])
+        assert row.p_rot == pytest.approx((np.sum(t >= obs - 1e-12) + 1) / 61) and row.z_rot == pytest.approx((obs - t.mean()) / t.std())
+    # A draw looks its likeness up: above the step that multiplies rows, nothing folds words.
+    plan = null._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" in plan and "zip_with" in plan and "zip_with" not in plan[: plan.index("Generate explode")]
+
+
+def test_no_pass_is_run_that_no_campaign_is_left_for(spark):
+    obs, runs = spark.createDataFrame([(1, 0.5), (2, 0.5)], "camp int, coact double"), []
+
+    def null(pairs, obs, draws, seed):
+        runs.append((draws, sorted(r.camp for r in obs.collect())))
+        return obs.select("camp", F.when((F.col("camp") == 1) & (draws < 1000), 0.05).otherwise(0.4).alias("p_x"))
+
+    got = synchrony.refine(null, obs.select("camp"), obs, "x", [200, 300, 10_000], [0.1, 0.01], 7)
+    assert runs == [(200, [1, 2]), (300, [1])] and {r.camp: r.p_x for r in got.collect()} == {1: 0.05, 2: 0.4}
+
+
+def test_likeness_of_words_of_any_number(spark):
+    r = np.random.default_rng(3)
+    pairs = [tuple(r.integers(0, 1 << 24, n).tolist() for _ in range(2)) for n in (1, 6, 7, 7, 8)] + [([0] * 7, [0] * 7)]
+    for x in spark.createDataFrame(pairs, "a array<int>, b array<int>").withColumn("j", bitmap.jaccard(F.col("a"), F.col("b"))).collect():
+        both, any_ = (sum(f(u, v).bit_count() for u, v in zip(x.a, x.b, strict=True)) for f in (int.__and__, int.__or__))
+        assert x.j == (both / any_ if any_ else 0.0)
+
+
 def test_raw_records(spark, tmp_path):
     (tmp_path / "x.json").write_text('{"SourceIP":"1.2.3.4","Traffic":11,"Port":80,"Packets":2}\nnot json\n{"SourceIP":"1.2.3.5","Traffic":5}\n{"SourceIP":"1.2.3.6","Traffic":0,"Country":"NA"}\n')
     got = {r.SourceIP: r for r in flows.read_raw(spark, str(tmp_path)).collect()}

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -575,15 +578,23 @@ def _all(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+#: Weeks that are worked on at a time.
+WEEKS_AT_ONCE = 5
+
+
 def _weeks(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    """The query over every week. Weeks run side by side, each in a thread: many of a week's jobs are too small for all cores."""
+
     def run(spark, d):
-        out = None
-        for k in src.event_weeks(spark, d) or [0]:
+        def one(k: int) -> DataFrame:
             with src.week(k):
                 rows = QUERIES[name](spark, d)
-            rows = rows.select(F.lit(k).cast("bigint").alias("week"), *rows.columns)
-            out = rows if out is None else out.unionByName(rows)
-        return out
+            return rows.select(F.lit(k).cast("bigint").alias("week"), *rows.columns)
+
+        with ThreadPoolExecutor(WEEKS_AT_ONCE) as pool:
+            # Wrapped anew for each week, as a wrapper's local properties are those of one thread.
+            parts = [pool.submit(inheritable_thread_target(spark)(one), k) for k in src.event_weeks(spark, d) or [0]]
+        return reduce(DataFrame.unionByName, [x.result() for x in parts])
 
     return run
 
