@@ -44,6 +44,25 @@ def test_every_week_is_that_of_the_sql(spark, con, name):
     df.unpersist()
 
 
+def test_bursts_whose_tail_is_too_small_for_a_double(spark, tmp_path):
+    """Blocks of 5 to 300 sources that all begin in one hour, by port and machine: tails of all digits, of a few, and of none."""
+    sizes = [5, 100, 300, *range(157, 174)]
+    c, kinds = duckdb.connect(), ["click", "view", "purchase", "signup", "error"]
+    users = [(4 * (1000 * (g // 4) + i) + g % 4, kinds[g // 4], 5 + g) for g, n in enumerate(sizes) for i in range(n)]
+    c.execute("create table u (id bigint, kind varchar, h integer)")
+    c.execute(f"insert into u values {', '.join(map(str, users))}")
+    c.sql(f"copy (select id as event_id, timestamp '2024-01-01' + to_hours(h) + to_seconds(id % 3600) as ts, id as user_id, kind as event_type, 20.0::double as value, '{{\"k\": ' || id % 100 || '}}' as props from u) to '{tmp_path}/events.parquet'")
+    c.sql(f"copy (select id as c_custkey, 'c' as c_name, (id % 25)::integer as c_nationkey, 0.0::double as c_acctbal, 'BUILDING' as c_mktsegment from u) to '{tmp_path}/customer.parquet'")
+    c.sql(f"copy (from '{SF}/nation.parquet') to '{tmp_path}/nation.parquet'")
+    for t in "events customer nation".split():
+        c.sql(f"create view {t} as from '{tmp_path}/{t}.parquet'")
+    df = plans.QUERIES["study_bursts"](spark, str(tmp_path))
+    got, want = df.collect(), c.sql(plans.ORACLES["study_bursts"])
+    tails = {r.k: r.ln_p for r in got}
+    assert set(sizes) <= set(tails) and tails[300] == -math.inf and -math.inf < tails[166] < -708.4
+    assert rows(df.columns, got) == rows(want.columns, want.fetchall())
+
+
 @pytest.fixture(scope="module", autouse=True)
 def shared_steps():
     study.KEPT, plans.KEPT = {}, {}

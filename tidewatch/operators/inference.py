@@ -84,10 +84,12 @@ def convergence(p: DataFrame, members: DataFrame, cfg: Config) -> DataFrame:
 
 
 def poisson_tail(k: Column, lam: Column) -> Column:
-    """P(X >= k): the upper terms of the series, so that small tails keep their digits."""
-    first = F.exp(k * F.log(lam) - lam - F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.greatest(k, F.lit(1).cast("bigint"))), F.lit(0.0), lambda t, i: t + F.log(i)))
-    more = F.aggregate(F.sequence(F.lit(1), (200 + 4 * lam).cast("int")), F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s")), lambda a, j: F.struct((a["t"] * lam / (k + j)).alias("t"), (a["s"] + a["t"] * lam / (k + j)).alias("s")))["s"]
-    return F.when(k <= 0, 1.0).otherwise(F.least(F.lit(1.0), first * more))
+    """P(X >= k): the upper terms of the series, so that small tails keep their digits. Each term is worked out by itself: where they are too small for all digits of a double, multiples of a rounded first term go astray."""
+    one = F.lit(1).cast("bigint")
+    fact = F.aggregate(F.sequence(one, F.greatest(k, one)), F.lit(0.0), lambda t, i: t + F.log(i))
+    start = F.struct(fact.alias("fact"), F.lit(0.0).alias("sum"))
+    tail = F.aggregate(F.sequence(k, k + (200 + 4 * lam).cast("bigint")), start, lambda a, j: F.struct((a["fact"] + F.log(j + 1)).alias("fact"), (a["sum"] + F.exp(j * F.log(lam) - lam - a["fact"])).alias("sum")))["sum"]
+    return F.when(k <= 0, 1.0).otherwise(F.least(F.lit(1.0), tail))
 
 
 def onset_bursts(p: DataFrame, keyed: DataFrame, hours: int, least: int, w: int = 3, censor: int = 2) -> DataFrame:

@@ -379,7 +379,9 @@ def study_bursts(spark, d):
     """ST15, WN5, WN6."""
     p = profiled(spark, d)
     b = inference.onset_bursts(p, p.select("src", inference.block_key().alias("key")), 168, 5)
-    return rounded(b.select("key", "h", "k", F.round("z", 4).alias("z"), F.round(F.log("p"), 4).alias("ln_p")))
+    # A tail too small for a double is 0. Its logarithm is SQL's -inf, where Spark's is null.
+    ln_p = F.when(F.col("p") == 0, F.lit(float("-inf"))).otherwise(F.log("p"))
+    return rounded(b.select("key", "h", "k", F.round("z", 4).alias("z"), F.round(ln_p, 4).alias("ln_p")))
 
 
 @query("study_burst_roles")
